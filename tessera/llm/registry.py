@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat
+from tessera.llm import bpe, chat, decontaminate
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op8_bpe": bpe.op8_bpe,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLES = {"op1_chat": chat.ORACLE_SQL}
+ORACLES = {
+    "op1_chat": chat.ORACLE_SQL,
+    "op10_decontaminate": decontaminate.ORACLE_SQL,
+}
