@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate
+from tessera.llm import bpe, chat, decontaminate, minhash
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op6_minhash": minhash.op6_minhash,
     "op8_bpe": bpe.op8_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {
+    "op6_minhash": minhash.ORACLE_SQL,
     "op1_chat": chat.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
