@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, minhash
+from tessera.llm import bpe, chat, decontaminate, minhash, suffix
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op3_suffix": suffix.op3_suffix,
     "op6_minhash": minhash.op6_minhash,
     "op8_bpe": bpe.op8_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {
+    "op3_suffix": suffix.ORACLE_SQL,
     "op6_minhash": minhash.ORACLE_SQL,
     "op1_chat": chat.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
