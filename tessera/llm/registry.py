@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, minhash, suffix, toxicity
+from tessera.llm import bpe, chat, decontaminate, html, minhash, suffix, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_minhash": minhash.op6_minhash,
     "op8_bpe": bpe.op8_bpe,
+    "op9_html": html.op9_html,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
@@ -17,5 +18,6 @@ ORACLES = {
     "op3_suffix": suffix.ORACLE_SQL,
     "op6_minhash": minhash.ORACLE_SQL,
     "op1_chat": chat.ORACLE_SQL,
+    "op9_html": html.op9_html,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
