@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, html, minhash, suffix, toxicity
+from tessera.llm import bpe, chat, decontaminate, html, licenses, minhash, suffix, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op3_suffix": suffix.op3_suffix,
+    "op4_licenses": licenses.op4_licenses,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_minhash": minhash.op6_minhash,
     "op8_bpe": bpe.op8_bpe,
