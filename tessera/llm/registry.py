@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, html, licenses, minhash, suffix, toxicity
+from tessera.llm import bpe, chat, decontaminate, html, licenses, lm, minhash, suffix, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op2_lm": lm.op2_lm,
     "op3_suffix": suffix.op3_suffix,
     "op4_licenses": licenses.op4_licenses,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_lm": lm.op2_lm,
     "op3_suffix": suffix.ORACLE_SQL,
     "op6_minhash": minhash.ORACLE_SQL,
     "op1_chat": chat.ORACLE_SQL,
