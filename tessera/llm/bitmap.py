@@ -27,7 +27,7 @@ def build(keys: DataFrame, column: str) -> np.ndarray:
     slot = F.col("k").bitwiseAND(F.lit((1 << bits) - 1))
     blocks = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit(_BLOCK - 1))).alias("m"))
     out = np.zeros(((1 << bits) + _BLOCK - 1) // _BLOCK * (_BLOCK // 8), np.uint8)
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():
         out[r.b * (_BLOCK // 8) : (r.b + 1) * (_BLOCK // 8)] = np.frombuffer(r.m, np.uint8)
     return out
 
