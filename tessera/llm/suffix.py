@@ -193,8 +193,42 @@ def _merge(spans: list) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def text_key(doc_id: str = "doc_id", text: str = "text") -> tuple:
+    """The columns (__ord, __key) that :func:`changed_texts` names a row by: its id and a hash of id and text."""
+    ord_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
+    return ord_.alias("__ord"), F.xxhash64(ord_, F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__key")
+
+
+def changed_texts(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """(__ord, __key, n_removed, n_spans, kept_sha256, kept_text) of the texts that lose bytes; only these are moved."""
+    spans = settle(spans.groupBy("__ord", "__key").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    needed = docs.sparkSession.sparkContext.broadcast(bitmap.build(spans.select("__key"), "__key"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.test(needed.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                removed, n, sha, texts = [], [], [], []
+                for text_, spans_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    data = text_.encode()
+                    merged = _merge([(x["s"], x["e"]) for x in spans_])
+                    kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in merged)], [*(s for s, _ in merged), len(data)], strict=True))
+                    removed.append(len(data) - len(kept))
+                    n.append(len(merged))
+                    sha.append(hashlib.sha256(kept).hexdigest())
+                    texts.append(kept.decode("utf-8", "ignore") if with_text else "")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["__ord", "__key", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+    keyed = _keyed(docs, doc_id, text).select(F.col("ord").alias("__ord"), F.xxhash64("ord", "text").alias("__key"), "text")
+    texts = keyed.mapInArrow(pick, "__ord long, __key long, text string").dropDuplicates(["__ord", "__key"])
+    return texts.join(spans, ["__ord", "__key"]).mapInArrow(cut, "__ord long, __key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+
+
 def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: ``keep``, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, with_text).
+    """One row per row of ``docs``: ``keep``, n_bytes, n_removed, n_spans, kept_sha256; with_text also kept_text, null where nothing was removed.
 
     Each byte covered by a 50-byte string that also starts in a document with a
     smaller id is removed; rows of one id do not remove each other's bytes, and
@@ -207,30 +241,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     if clash:
         raise ValueError(f"columns {sorted(clash)} are result columns")
     rows, spans = repeated_spans(docs, keep, doc_id, text)
-    spans = settle(spans.groupBy("__ord", "__key").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    needed = docs.sparkSession.sparkContext.broadcast(bitmap.build(spans.select("__key"), "__key"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bitmap.test(needed.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, n, sha, texts = [], [], [], []
-            for i in range(batch.num_rows):
-                data = batch.column(2)[i].as_py().encode()
-                merged = _merge([(x["s"], x["e"]) for x in batch.column(3)[i].as_py()])
-                kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in merged)], [*(s for s, _ in merged), len(data)], strict=True))
-                removed.append(len(data) - len(kept))
-                n.append(len(merged))
-                sha.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode("utf-8", "ignore") if with_text else "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["__ord", "__key", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-    keyed = _keyed(docs, doc_id, text).select(F.col("ord").alias("__ord"), F.xxhash64("ord", "text").alias("__key"), "text")
-    texts = keyed.mapInArrow(pick, "__ord long, __key long, text string").dropDuplicates(["__ord", "__key"])
-    changed = texts.join(spans, ["__ord", "__key"]).mapInArrow(cut, "__ord long, __key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    out = rows.join(changed, ["__ord", "__key"], "left")
+    out = rows.join(changed_texts(docs, spans, doc_id, text, with_text), ["__ord", "__key"], "left")
     columns = [*keep, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "__sha").alias("kept_sha256")]
     return out.select(*columns, *(["kept_text"] if with_text else []))
 
