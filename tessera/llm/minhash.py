@@ -3,11 +3,11 @@
 One permutation scatters a document's shingles over 2**32 places; a second one
 is read at those places shifted circularly by 0, 1, 2, ..., which gives all
 signature coordinates.  Bands of coordinates make candidates.  Within a band
-every document is first compared with the band's smallest one only; then, until
-no band holds two documents that are neither in one component nor compared,
-the remaining pairs across components are compared too.  So no pair of a band
-is lost, and copies are not expanded into all pairs.  A link counts only if
-the full shingle sets confirm it.
+every document is first compared with the band's centre and its smallest member
+only; then the pairs across components that are neither compared nor excluded
+by an exact bound are compared too.  So no pair of a band is lost, and copies
+are not expanded into all pairs.  A link counts only if the full shingle sets
+confirm it.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ QUERY_WORDS, QUERY_PERCENT = 3, 85
 WORDS, PERCENT = 5, 80
 #: 32 bands of 4 coordinates: two sets of similarity 0.85 share no band with probability 6e-11, of 0.8 with 5e-8.
 BANDS, ROWS = 32, 4
-#: Bands compared with their smallest member, then with another one, before single pairs are listed.
-STAR_ROUNDS = 2
+#: Words of 64 bits in a set's parity bitmap.
+PARITY = 16
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)
 _ALONE = np.uint64(0x94D049BB133111EB)
 
@@ -84,6 +84,16 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of the set: bit k tells whether an odd number of its members fall on k.
+
+    Where two bitmaps differ, the sets differ: the number of such bits is at
+    most the size of the symmetric difference.
+    """
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed_docs(docs: DataFrame, keep: list[str], text: str, width: int) -> DataFrame:
     """The columns ``keep`` of each row with __row, n_shingles, the set's digest and its band hashes."""
     import pyspark.sql.types as T
@@ -107,14 +117,14 @@ def _signed_docs(docs: DataFrame, keep: list[str], text: str, width: int) -> Dat
 
 
 def _full_sets(docs: DataFrame, text: str, width: int, needed: np.ndarray) -> DataFrame:
-    """(a, b, set): the shingles of every row whose digest may be needed; a repeated set once a batch."""
+    """(a, b, set, bits): the shingles and parity bitmap of every row whose digest may be needed; a repeated set once a batch."""
     shared = docs.sparkSession.sparkContext.broadcast(needed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple[int, int]] = set()
             for lo, hi in pieces(batch, 0):
-                keys, out = [], []
+                keys, out, bits = [], [], []
                 for s in sets_of(Words(*text_bytes(batch.column(0), lo, hi), SPACED), width):
                     if len(s):
                         key = digest(s)
@@ -122,15 +132,28 @@ def _full_sets(docs: DataFrame, text: str, width: int, needed: np.ndarray) -> Da
                             seen.add(key)
                             keys.append(key)
                             out.append(signed(s))
+                            bits.append(parity(s))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["a", "b", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["a", "b", "set", "bits"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "a long, b long, set array<long>")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "a long, b long, set array<long>, bits array<long>")
+
+
+def _bounded(percent: int):
+    """Pairs whose sizes and own shingles allow the similarity.
+
+    A shingle that only one set has (u1, u2 of them) is in no intersection, and
+    the own shingles of both are in the union: the rest bounds the similarity.
+    """
+    most = F.least(F.col("n1") - F.col("u1"), F.col("n2") - F.col("u2"))
+    least = F.col("u1") + F.col("u2") + F.greatest(F.col("n1") - F.col("u1"), F.col("n2") - F.col("u2"))
+    return (most * 100 >= least * percent) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
 
 
-def _sized(percent: int):
-    """Sets whose sizes alone allow the similarity."""
-    return F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
+def _alike(percent: int):
+    """Pairs whose parity bitmaps allow the similarity: d differing bits leave an intersection of (n1 + n2 - d) / 2 at most."""
+    d = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(1, PARITY)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    return (F.col("n1") + F.col("n2") - d) * 100 >= (F.col("n1") + F.col("n2") + d) * percent
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -148,49 +171,57 @@ def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", te
     if clash:
         raise ValueError(f"columns {sorted(clash)} are result columns")
     found = settle(_signed_docs(docs.withColumn("__id", F.col(doc_id)), [*keep, "__id"], text, width))
-    nodes = found.filter("n_shingles > 0").groupBy("__a", "__b").agg(F.min("__row").alias("node"), F.min("n_shingles").alias("n"), F.first("__bands").alias("bands"))
+    nodes = found.filter("n_shingles > 0").groupBy("__a", "__b").agg(F.min("__row").alias("node"), F.min("n_shingles").alias("n"), F.min("__id").alias("id"), F.first("__bands").alias("bands"))
     nodes = settle(nodes)
     banded = nodes.select(F.explode("bands").alias("band"), "node", "n")
-    shared = banded.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("rep"), F.max(F.struct(F.xxhash64("node"), "node", "n")).alias("other")).filter("c > 1")
-    together = settle(banded.join(shared.select("band", "rep", F.struct(F.col("other.node"), F.col("other.n")).alias("other")), "band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
+    together = settle(banded.join(shared, "band"))
+    # the full sets of all that share a band, and how many shingles of each no other one has
+    keys = settle(nodes.select("node", "__a", "__b").join(together.select("node").distinct(), "node"))
+    sets = _full_sets(docs, text, width, bitmap.build(keys.select("__a"), "__a"))
+    sets = settle(sets.join(keys, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).groupBy("node").agg(F.first("set").alias("set"), F.first("bits").alias("bits")))
+    own = sets.select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("u"))
+    # a set of which too much is its own has no partner
+    able = sets.select("node", F.size("set").cast("long").alias("n")).join(own, "node", "left").select("node", F.coalesce("u", F.lit(0)).alias("u"), (F.col("n") - F.coalesce("u", F.lit(0))).alias("common"), "n")
+    able = settle(able.filter(F.col("common") * 100 >= F.col("n") * percent).select("node", "u"))
+    together = together.join(able, "node")
+    # a band's centre is the member with the smallest share of own shingles: copies with edits resemble it more than each other
+    reps = together.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct(F.round(F.col("u") / F.col("n"), 6), "node", "n", "u")).alias("centre"), F.min(F.struct("node", "n", "u")).alias("least")).filter("c > 1")
+    together = settle(together.join(reps.select("band", F.struct("centre.node", "centre.n", "centre.u").alias("centre"), "least"), "band"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (u, v) pairs those that the full sets confirm."""
-        own = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        keys = settle(nodes.select("node", "__a", "__b").join(own, "node"))
-        sets = _full_sets(docs, text, width, bitmap.build(keys.select("__a"), "__a"))
-        sets = sets.join(keys, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).groupBy("node").agg(F.first("set").alias("set"))
-        sets = settle(sets)
         with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
         both = with_u.join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
         same = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("i"), (F.size("su") + F.size("sv")).alias("s"))
         return settle(same.filter(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("u", "v"))
 
     def star(column: str) -> DataFrame:
-        return together.select(F.col(f"{column}.node").alias("u"), F.col(f"{column}.n").alias("n1"), F.col("node").alias("v"), F.col("n").alias("n2")).filter("u <> v")
+        return together.select(F.col(f"{column}.node").alias("u"), F.col(f"{column}.n").alias("n1"), F.col(f"{column}.u").alias("u1"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("u").alias("u2")).filter("u <> v")
 
-    tried = star("rep").union(star("other")).filter(_sized(percent))
+    tried = star("centre").union(star("least")).filter(_bounded(percent))
     tried = settle(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     links = verified(tried)
     groups = settle(components(links))
     # bands whose members are not yet in one component: the pairs across components that were not compared
-    placed = together.select("band", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = together.select("band", "node", "n", "u").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("split")).filter("split").select("band")
-    open_ = settle(placed.join(split, "band"))
-    first = open_.select("band", F.col("node").alias("u"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    second = open_.select("band", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    rest = first.join(second, "band").filter((F.col("u") < F.col("v")) & (F.col("c1") != F.col("c2")) & _sized(percent)).select("u", "v").distinct()
+    open_ = settle(placed.join(split, "band").join(sets.select("node", *[F.get("bits", k).alias(f"bits{k}") for k in range(PARITY)]), "node"))
+    first = open_.select("band", F.col("node").alias("p"), F.col("n").alias("n1"), F.col("u").alias("u1"), F.col("component").alias("c1"), *[F.col(f"bits{k}").alias(f"x{k}") for k in range(PARITY)])
+    second = open_.select("band", F.col("node").alias("q"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("component").alias("c2"), *[F.col(f"bits{k}").alias(f"y{k}") for k in range(PARITY)])
+    rest = first.join(second, (first["band"] == second["band"]) & (F.col("p") < F.col("q")) & (F.col("c1") != F.col("c2")) & _bounded(percent) & _alike(percent)).select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
     rest = settle(rest.join(tried, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
         more = verified(rest)
         if not more.isEmpty():
             groups = settle(components(links.union(more)))
-    of_node = nodes.select("__a", "__b", "node").join(groups, "node", "left").select("__a", "__b", F.coalesce("component", "node").alias("__component"))
+    of_node = nodes.select("__a", "__b", "node", "id").join(groups, "node", "left").withColumn("__component", F.coalesce("component", "node"))
+    least = of_node.groupBy("__component").agg(F.min("id").alias("__least"))
+    of_node = of_node.join(least, "__component").select("__a", "__b", "__component", "__least")
     rows = found.drop("__bands").join(of_node, ["__a", "__b"], "left")
-    rows = rows.withColumn("__component", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("__component")), F.col("__row")))
-    least = rows.groupBy("__component").agg(F.min("__id").alias("component_id"))
-    out = rows.join(least, "__component")
-    return out.select(*keep, "n_shingles", "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "__component")
+    alone = F.col("n_shingles") == 0
+    rows = rows.withColumns({"__component": F.when(alone, F.col("__row")).otherwise(F.col("__component")), "component_id": F.when(alone, F.col("__id")).otherwise(F.col("__least"))})
+    return rows.select(*keep, "n_shingles", "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "__component")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
