@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, html, licenses, lm, minhash, suffix, toxicity
+from tessera.llm import bpe, chat, decontaminate, html, images, licenses, lm, minhash, suffix, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_licenses": licenses.op4_licenses,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_minhash": minhash.op6_minhash,
+    "op7_images": images.op7_images,
     "op8_bpe": bpe.op8_bpe,
     "op9_html": html.op9_html,
     "op10_decontaminate": decontaminate.op10_decontaminate,
