@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed
 from tessera.functions.text import prefix5
 
-_BASE = ("entity_id", "src", "ord", F.col("country_normalized").alias("country"))
-
-
 def key_table(df: DataFrame, types: tuple[str, ...] = ("exact", "acr", "tok", "num", "pfx")) -> DataFrame:
     """One row for each key of each entity; a repeated word or number of a row stays repeated."""
     keys: dict[str, Column] = {
@@ -30,7 +27,7 @@ def key_table(df: DataFrame, types: tuple[str, ...] = ("exact", "acr", "tok", "n
         return F.transform(keys[name], lambda k: F.struct(F.lit(name).alias("key_type"), k.alias("key")))
 
     every = F.flatten(F.array_compact(F.array(*map(typed, types))))
-    return df.select(*_BASE, F.explode(every).alias("k")).select("entity_id", "src", "ord", "country", "k.key_type", "k.key")
+    return df.select("entity_id", "src", "ord", F.col("country_normalized").alias("country"), F.explode(every).alias("k")).select("entity_id", "src", "ord", "country", "k.key_type", "k.key")
 
 
 def occurrences(keys: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ def lexical_scorer(a: Column, b: Column) -> Column:
 
 def train_matcher(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label", held: str | None = None, rounds: int = 30, seed: int = 42) -> PipelineModel:
     """Gradient-boosted trees for pairs; with ``held`` (boolean column) boosting stops when held-out loss does."""
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxIter=rounds, seed=seed)
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxIter=rounds, seed=seed, validationTol=1e-4)
     if held:
-        gbt = gbt.setValidationIndicatorCol(held).setValidationTol(1e-4)
+        gbt = gbt.setValidationIndicatorCol(held)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), gbt]).fit(pairs)
 
 
