@@ -28,15 +28,15 @@ from tessera.llm.bytegrid import SPACED, Words, mix, signed, text_bytes
 from tessera.llm.common import pieces, settle, table
 
 #: Classes of frequent words, words in each; the class after the last holds all other words.
-CLASSES, CLASS_WORDS = 48, 64
+CLASSES, CLASS_WORDS = 32, 32
 #: Hashed rows of the class and of the word parameters.
 ROWS = 1 << 14
 #: Words whose counts every worker holds; the counts of all others are joined.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 17
 ROUNDS, RATE, BATCH = 2, 0.15, 8192
 END = np.uint64(0x2545F4914F6CDD1D)
 _BEGIN = np.uint64(0x6A09E667F3BCC909)
-_FEATURES = 5
+_FEATURES = 4
 _NEVER = -30.0
 
 
@@ -50,11 +50,11 @@ def tokens(batch_column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.nda
 
 
 def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Five feature hashes of each token's history; feature 0 is the bias."""
+    """Four feature hashes of each token's history; feature 0 is the bias."""
     out = np.zeros((_FEATURES, len(h)), np.uint64)
     back = []
     place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-    for d in (1, 2, 3):
+    for d in (1, 2):
         b = np.full(len(h), _BEGIN, np.uint64)
         b[d:] = h[:-d]
         b[place < d] = _BEGIN
@@ -62,7 +62,6 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     out[1] = mix(back[0] + np.uint64(1))
     out[2] = mix(out[1] ^ mix(back[1] + np.uint64(2)))
     out[3] = mix(back[1] + np.uint64(3))
-    out[4] = mix(back[2] + np.uint64(4))
     return out
 
 
