@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -28,12 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives lost executors.
+
+    Shuffle files stay on disk until the driver's collector finds their owners
+    gone; as the written table needs none of them, it is told to look now.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     schema = df.schema
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    del df
+    out = spark.read.schema(schema).parquet(path)
+    out.count()  # until another job has run the session still holds the one that wrote
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
 
 
 def drop_settled(*frames: DataFrame) -> None:

@@ -190,7 +190,9 @@ def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES) -> dic
     hash order.  Without labelled pages the fixed weights remain.
     """
     marked = pages.select(F.col(html).cast("string").alias("html")).filter(F.regexp_count("html", F.lit("(?i)<article[\\s>]")) == 1)
-    marked = marked.orderBy(F.xxhash64("html"), "html").limit(sample)
+    # only hashes are ordered; the pages themselves stay where they are
+    first = marked.select(F.xxhash64("html").alias("hash")).distinct().orderBy("hash").limit(sample)
+    marked = marked.withColumn("hash", F.xxhash64("html")).join(F.broadcast(first), "hash").select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
