@@ -216,7 +216,15 @@ def count_words(training: DataFrame, text: str = "text") -> DataFrame:
 def known_counts(counted: DataFrame, frequent: int = FREQUENT) -> Counts:
     """The fixed-size table of the most frequent tokens and the totals."""
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counted.orderBy(F.desc("c"), "h").limit(frequent).toPandas()
+    # a count that few enough words reach: sizes of count ranges tell it, so no task sends more than its share
+    ranges = counted.groupBy(F.floor(F.log2("c") * 16).alias("r")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    held, least = 0, 1 << 62
+    for r in sorted(ranges, key=lambda r: -r["r"]):
+        held += r["n"]
+        if held > frequent:
+            break
+        least = r["c"]
+    top = counted.filter(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     n = min(len(h), CLASSES * CLASS_WORDS)
     places = np.full(len(h), -1, np.int32)
