@@ -13,19 +13,21 @@ MIN_BITS, MAX_BITS = 16, 27
 #: Bits that a key gets where the bound allows.
 BITS_A_KEY = 32
 _BLOCK = 32768
+#: Where a key's second slot begins.
+SECOND = 31
 
 
 def build(keys: DataFrame, column: str) -> np.ndarray:
     """The bitmap of ``column`` (long) of ``keys``; built by the executors in blocks of 4 KiB.
 
-    A key's slot is its lowest bits.  More keys than the largest bitmap suits
+    A key has two slots, its lowest bits and those above them.  More keys than the largest bitmap suits
     only let more rows pass: what follows is an exact join.
     """
     keys = keys.select(F.col(column).alias("k"))
     n = keys.count()
     bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, n) * BITS_A_KEY))))
-    slot = F.col("k").bitwiseAND(F.lit((1 << bits) - 1))
-    blocks = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit(_BLOCK - 1))).alias("m"))
+    slots = F.array(*[F.shiftrightunsigned("k", n).bitwiseAND(F.lit((1 << bits) - 1)) for n in (0, SECOND)])
+    blocks = keys.select(F.explode(slots).alias("s")).groupBy(F.shiftright("s", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit(_BLOCK - 1))).alias("m"))
     out = np.zeros(((1 << bits) + _BLOCK - 1) // _BLOCK * (_BLOCK // 8), np.uint8)
     for r in blocks.collect():
         out[r.b * (_BLOCK // 8) : (r.b + 1) * (_BLOCK // 8)] = np.frombuffer(r.m, np.uint8)
@@ -34,5 +36,12 @@ def build(keys: DataFrame, column: str) -> np.ndarray:
 
 def test(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the uint64 ``keys`` may be in the bitmap."""
+    out = _bit(bitmap, keys)
+    at = np.flatnonzero(out)
+    out[at] = _bit(bitmap, keys[at] >> np.uint64(SECOND))
+    return out
+
+
+def _bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     slot = keys & np.uint64(8 * len(bitmap) - 1)
     return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 != 0

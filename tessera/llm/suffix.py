@@ -13,8 +13,8 @@ positions whose name is unique leave before the next length:
    name of the whole stretch).  A stretch that also stands in a smaller
    document is removed as a whole.
 3. Windows, only in stretches whose seed has several different stretches:
-   names of 16, 32 and then ``LENGTH`` bytes, each from a pair of the names
-   before at offsets 16 and 18.
+   names of ``LENGTH`` bytes, each from the pair of ``SEED``-byte names at
+   offsets 0 and 25.
 
 Texts never move for this.  They are read once for each step, and only the
 texts that lose bytes are joined with their spans at the end.
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
 from tessera.llm.bytegrid import _BYTE, _Powers, mix, signed, text_bytes
-from tessera.llm.common import pieces, settle, table
+from tessera.llm.common import drop_settled, pieces, settle, table
 
-LENGTH, SEED = 50, 16
+LENGTH, SEED = 50, 25
 #: Bytes handed to numpy at once; what it holds then fits in a core's cache.
 PIECE = 1 << 18
+#: Stretches of one seed that a task may hold at once.
+SEED_STRETCHES = 20_000
 _LAST = (1 << 63) - 1
 
 
@@ -83,17 +85,12 @@ class Stretches:
         self.name = mix(whole ^ ((self.hi - self.lo).astype(np.uint64) << np.uint64(56)) ^ ((anchor - self.lo).astype(np.uint64) << np.uint64(48)))
         self.row = np.searchsorted(offsets, self.lo, side="right") - 1
 
-    def classes(self) -> np.ndarray:
-        return mix(self.seed + np.uint64(0x9E3779B97F4A7C15) * self.name)
-
     def windows(self, which: np.ndarray) -> list[np.ndarray]:
-        """Names of the windows of the stretches ``which``: doubled from SEED over 2 * SEED to LENGTH bytes."""
+        """Names of the windows of the stretches ``which``: pairs of seed names, SEED bytes apart."""
         out = []
         for lo, hi in zip(self.lo[which].tolist(), self.hi[which].tolist(), strict=True):
             one = self.names[lo : hi + LENGTH - SEED + 1]
-            two = mix(mix(one[:-SEED]) + one[SEED:])
-            off = LENGTH - 2 * SEED
-            out.append(mix(mix(two[: hi - lo + 1]) + two[off : off + hi - lo + 1]))
+            out.append(mix(mix(one[:-SEED]) + one[SEED:]))
         return out
 
 
@@ -146,41 +143,90 @@ def _found(docs: DataFrame, keep: list[str], doc_id: str, text: str, seeds: np.n
     return source.select(*[F.col(c) for c in keep], "__ord", F.xxhash64("__ord", "__text").alias("__key"), "__text").mapInArrow(run, schema)
 
 
+def _parts(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(seed, name, part): of the stretches ``mixed`` the windows that a stretch of the same seed in a smaller document has too.
+
+    Each stretch is read again in its smallest document.  The stretches of a
+    seed meet in one task, which goes through them by document and holds their
+    window names; of seeds with more than ``SEED_STRETCHES`` stretches the
+    windows themselves are spread over all tasks and joined.
+    """
+    key = lambda df: bitmap.build(df.select(F.col("name").bitwiseXOR(F.col("least")).alias("k")), "k")
+    few, many = mixed.filter(F.col("n") <= SEED_STRETCHES), mixed.filter(F.col("n") > SEED_STRETCHES)
+    asked = few.select("seed", "name", "least", F.lit(None).cast("array<long>").alias("windows"))
+    rows = _windows_of(keyed, key(few)).unionByName(asked).repartition("seed").sortWithinPartitions("seed", "least", "name", F.col("windows").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed, least, due, seen, new = None, None, None, set(), []
+        out: list[list] = [[], [], []]
+        for batch in batches:
+            windows = batch.column(3)
+            flat, cut = windows.values.to_numpy(zero_copy_only=False), windows.offsets.to_numpy()
+            empty = windows.is_null().to_pylist()
+            for i, (s, n, o) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if s != seed:
+                    seed, least, due, seen, new = s, o, None, set(), []
+                elif o != least:
+                    seen.update(*new)
+                    least, new = o, []
+                if empty[i]:
+                    due = (n, o)
+                elif due == (n, o):
+                    due = None
+                    own = flat[cut[i] : cut[i + 1]].tolist()
+                    part = [j for j, w in enumerate(own) if w in seen] if seen else []
+                    new.append(own)
+                    if part:
+                        for column, v in zip(out, (s, n, part), strict=True):
+                            column.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], ["seed", "name", "part"])
+                out = [[], [], []]
+
+    part = rows.mapInArrow(run, "seed long, name long, part array<int>")
+    if many.isEmpty():
+        return part
+    stretches = _windows_of(keyed, key(many)).groupBy("seed", "name", "least").agg(F.first("windows").alias("windows"))
+    windows = settle(stretches.join(many.select("seed", "name", "least"), ["seed", "name", "least"]))
+    each = windows.select("seed", "name", "least", F.posexplode("windows").alias("j", "w"))
+    lowest = each.groupBy("w").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last").select("w", "first")
+    return part.unionByName(each.join(lowest, "w").filter("least > first").groupBy("seed", "name").agg(F.sort_array(F.collect_set("j")).alias("part")))
+
+
 def repeated_spans(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, spans): each row's ``keep``, __ord, __key, n_bytes, __sha; and (__ord, __key, s, e) byte spans to remove, not yet merged."""
     keyed = _keyed(docs, doc_id, text)
     seeds = settle(_seeds(keyed))
     found = settle(_found(docs, keep, doc_id, text, bitmap.build(seeds, "seed")))
+    drop_settled(seeds)
     spots = found.select("__ord", "__key", F.explode("__found").alias("f")).select("__ord", "__key", "f.*")
     classes = settle(spots.groupBy("seed", "name").agg(F.min("__ord").alias("least"), F.max("__ord").alias("most")))
-    several = classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    mixed = settle(classes.join(several, "seed").select("seed", "name", "least"))
-    stretches = _windows_of(keyed, bitmap.build(mixed.select("seed").distinct(), "seed"))
-    stretches = stretches.groupBy("seed", "name").agg(F.first("windows").alias("windows"))
-    windows = settle(stretches.join(mixed, ["seed", "name"]).select("seed", "name", "least", F.posexplode("windows").alias("j", "w")))
-    lowest = windows.groupBy("w").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last").select("w", "first")
-    part = windows.join(lowest, "w").filter("least > first").groupBy("seed", "name").agg(F.sort_array(F.collect_set("j")).alias("part"))
+    several = classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1")
+    mixed = settle(classes.join(several, "seed").select("seed", "name", "least", "n"))
+    part = settle(_parts(keyed, mixed))
+    drop_settled(mixed)
     told = classes.join(part, ["seed", "name"], "left").filter("least < most OR part IS NOT NULL")
     hit = spots.join(told.select("seed", "name", "least", "part"), ["seed", "name"])
-    whole = hit.filter("__ord > least").select("__ord", "__key", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
-    some = hit.filter("__ord = least AND part IS NOT NULL").select("__ord", "__key", "lo", F.explode("part").alias("j")).select("__ord", "__key", (F.col("lo") + F.col("j")).alias("s"), (F.col("lo") + F.col("j") + LENGTH).alias("e"))
-    return found.drop("__found"), whole.union(some)
+    whole = F.array(F.struct(F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e")))
+    some = F.transform("part", lambda j: F.struct((F.col("lo") + j).alias("s"), (F.col("lo") + j + LENGTH).alias("e")))
+    hit = hit.select("__ord", "__key", F.explode(F.when(F.col("__ord") > F.col("least"), whole).otherwise(some)).alias("x"))
+    return found.drop("__found"), hit.select("__ord", "__key", "x.s", "x.e")
 
 
-def _windows_of(keyed: DataFrame, seeds: np.ndarray) -> DataFrame:
-    """(seed, name, windows): the window names of every stretch whose seed may be in ``seeds``; equal ones once a piece."""
-    shared = keyed.sparkSession.sparkContext.broadcast(seeds)
+def _windows_of(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(seed, name, least, windows): the window names of the stretches that may be wanted in this document."""
+    shared = keyed.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, s, _ in _each(batches, 1):
-            pick = np.flatnonzero(bitmap.test(shared.value, s.seed))
-            pick = pick[np.unique(s.classes()[pick], return_index=True)[1]]
+        for batch, lo, hi, s, _ in _each(batches, 1):
+            ids = batch.column(0).slice(lo, hi - lo).to_numpy()[s.row]
+            pick = np.flatnonzero(bitmap.test(shared.value, s.name ^ ids.view(np.uint64)))
             names = s.windows(pick)
             cut = np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype(np.int32)
             flat = pa.array(signed(np.concatenate([*names, np.zeros(0, np.uint64)])))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s.seed[pick])), pa.array(signed(s.name[pick])), pa.ListArray.from_arrays(pa.array(cut), flat)], ["seed", "name", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(s.seed[pick])), pa.array(signed(s.name[pick])), pa.array(ids[pick]), pa.ListArray.from_arrays(pa.array(cut), flat)], ["seed", "name", "least", "windows"])
 
-    return keyed.mapInArrow(run, "seed long, name long, windows array<long>")
+    return keyed.mapInArrow(run, "seed long, name long, least long, windows array<long>")
 
 
 def _merge(spans: list) -> list[tuple[int, int]]:
