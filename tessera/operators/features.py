@@ -25,6 +25,9 @@ def pair_features(pairs: DataFrame, query: DataFrame, index: DataFrame, missing:
     ``constant_score`` gives every pair the retrieval score 1.
     """
     both = enriched(pairs, query, index)
+    # the string ratios cost far more than the rows' size tells: spread the pairs before them
+    session = pairs.sparkSession
+    both = both.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), "s1_id", "c_id")
     score = F.lit(1.0) if constant_score or "score" not in pairs.columns else F.col("score")
     return both.select(
         "s1_id", "c_id", score.alias("retrieval_score"),
