@@ -3,7 +3,8 @@
 A text with no license keyword is done after one look.  Any other becomes a
 line of lower-cased words.  Rules are grown from license families (name
 pattern, keyword) and statement forms (pattern, priority, relevance), several
-hundred in all; a family's rules run only if its keyword stands in the text.
+hundred in all; a rule runs only if its keyword, which all its matches contain,
+stands in the text.
 All matches go in one sweep, in order of start: a match inside another of the
 same or a higher priority is suppressed.  The labels left over join the labels
 of the base phrases.
@@ -23,14 +24,17 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 _V = r"(?:(?:version |ver |v ?))?"
 _L = r"licen[cs]e"
-#: (label, keyword, name pattern over lower-cased words, registry names of the license).
+#: (label, keyword, name pattern over lower-cased words, registry name of the license); names that share no word are
+#: rows of their own, the further ones without a registry name.
 FAMILIES = (
-    ("mit", "mit", rf"(?:the )?(?:mit|expat)(?: x11)? {_L}", "mit"),
+    ("mit", "mit", rf"(?:the )?mit(?: x11)? {_L}", "mit"),
+    ("mit", "expat", rf"(?:the )?expat(?: x11)? {_L}", None),
     ("x11", "x11", rf"x11 {_L}", "x11"),
     ("apache-1.1", "apache", rf"apache (?:software )?{_L} {_V}1 1", "apache 1 1"),
     ("apache-2.0", "apache", rf"apache (?:software )?{_L} {_V}2(?: 0)?", "apache 2 0"),
     ("apache", "apache", rf"apache (?:software )?{_L}", "apache"),
-    ("gpl-1.0", "gpl", rf"(?:gpl|general public {_L}) {_V}1(?: 0)?", "gpl 1 0"),
+    ("gpl-1.0", "gpl", rf"gpl {_V}1(?: 0)?", "gpl 1 0"),
+    ("gpl-1.0", "general public", rf"general public {_L} {_V}1(?: 0)?", None),
     ("gpl-2.0", "general public", rf"(?:gnu )?general public {_L} {_V}2(?: 0)?", "gpl 2 0"),
     ("gpl-2.0", "gpl", rf"gplv? ?{_V}2(?: 0)?", "gpl 2 0 only"),
     ("gpl-3.0", "general public", rf"(?:gnu )?general public {_L} {_V}3(?: 0)?", "gpl 3 0"),
@@ -38,7 +42,8 @@ FAMILIES = (
     ("gpl", "general public", rf"(?:gnu )?general public {_L}", "gpl"),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public {_L} {_V}2 1", "lgpl 2 1"),
     ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public {_L} {_V}3(?: 0)?", "lgpl 3 0"),
-    ("lgpl", "lesser", rf"(?:gnu )?(?:lesser|library) general public {_L}", "lgpl"),
+    ("lgpl", "lesser", rf"(?:gnu )?lesser general public {_L}", "lgpl"),
+    ("lgpl", "library general", rf"(?:gnu )?library general public {_L}", None),
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general public {_L} {_V}3(?: 0)?", "agpl 3 0"),
     ("agpl", "affero", rf"(?:gnu )?affero general public {_L}", "agpl"),
     ("gfdl", "free documentation", rf"(?:gnu )?free documentation {_L}", "gfdl 1 3"),
@@ -46,7 +51,8 @@ FAMILIES = (
     ("bsd-3-clause", "bsd", rf"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: {_L})?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", rf"(?:bsd 4 clause|4 clause bsd|original bsd)(?: {_L})?", "bsd 4 clause"),
     ("bsd", "bsd", rf"bsd(?: style)? {_L}", "bsd"),
-    ("0bsd", "0bsd", rf"(?:0bsd|zero clause bsd)(?: {_L})?", "0bsd"),
+    ("0bsd", "0bsd", rf"0bsd(?: {_L})?", "0bsd"),
+    ("0bsd", "zero clause", rf"zero clause bsd(?: {_L})?", None),
     ("isc", "isc", rf"isc {_L}", "isc"),
     ("mpl-1.1", "mozilla", rf"mozilla public {_L} {_V}1 1", "mpl 1 1"),
     ("mpl-2.0", "mozilla", rf"mozilla public {_L} {_V}2(?: 0)?", "mpl 2 0"),
@@ -67,7 +73,8 @@ FAMILIES = (
     ("cc-by-nc", "creative commons", rf"creative commons attribution non ?commercial(?: [34] 0)?(?: international)?(?: {_L})?", "cc by nc 4 0"),
     ("cc", "creative commons", rf"creative commons(?: attribution)?(?: {_L})?", "cc by"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public license", "wtfpl"),
+    ("wtfpl", "wtfpl", r"wtfpl", "wtfpl"),
+    ("wtfpl", "do what the", r"do what the fuck you want to public license", None),
     ("postgresql", "postgresql", rf"postgresql {_L}", "postgresql"),
     ("python", "python", rf"python software foundation {_L}", "psf 2 0"),
     ("openssl", "openssl", rf"openssl {_L}", "openssl"),
@@ -108,9 +115,10 @@ PRIORITIES = 5
 def rules() -> list[dict]:
     """Every signature rule: families by forms, then the single statements."""
     out = [
-        {"label": label, "keyword": keyword, "re": f"(?<= )(?:{form.format(name=f'(?:{name})', id=ids, lic=_L)})(?= )", "priority": priority, "score": score}
+        {"label": label, "keyword": f"identifier {ids}" if "{id}" in form else keyword, "re": f"(?<= )(?:{form.format(name=f'(?:{name})', id=ids, lic=_L)})(?= )", "priority": priority, "score": score}
         for label, keyword, name, ids in FAMILIES
         for form, priority, score in FORMS
+        if ids or "{id}" not in form
     ]
     return out + [{"label": label, "keyword": k, "re": f"(?<= )(?:{p})(?= )", "priority": priority, "score": s} for label, k, p, priority, s in SINGLE]
 
@@ -168,11 +176,12 @@ _RESULT = "struct<n_base:bigint,first_word:bigint,last_word:bigint,base:array<st
 
 def _scanned(text: Column, n_words: Column) -> Column:
     line = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+    # the SPDX rules' keywords are looked for only behind a common one
     by_keyword: dict[str, list[dict]] = {}
     for r in rules():
-        by_keyword.setdefault(r.pop("keyword"), []).append(r)
+        by_keyword.setdefault("spdx" if "spdx" in r["re"] else r["keyword"], []).append(r)
     grouped = json.dumps([{"keyword": k, "rules": v} for k, v in by_keyword.items()])
-    table_ = F.from_json(F.lit(grouped), "array<struct<keyword:string,rules:array<struct<label:string,re:string,priority:int,score:double>>>>")
+    table_ = F.from_json(F.lit(grouped), "array<struct<keyword:string,rules:array<struct<keyword:string,label:string,re:string,priority:int,score:double>>>>")
 
     def body(p: Column) -> Column:
         counts = [F.regexp_count(p, F.lit(f" {phrase}(?= )")).cast("long") for phrase, _ in BASE]
@@ -181,7 +190,7 @@ def _scanned(text: Column, n_words: Column) -> Column:
         last = F.greatest(*[F.when(h, n_words - _spaces(F.substring_index(p, f" {phrase} ", -1)) - len(phrase.split())) for h, (phrase, _) in zip(has, BASE, strict=True)])
         base = F.array_compact(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(has, BASE, strict=True)]))
         live = F.filter(table_, lambda g: p.contains(g["keyword"]))
-        found = F.flatten(F.transform(live, lambda g: F.flatten(F.filter(F.transform(g["rules"], lambda r: _matches(p, r)), lambda m: m.isNotNull()))))
+        found = F.flatten(F.transform(live, lambda g: F.flatten(F.filter(F.transform(F.filter(g["rules"], lambda r: p.contains(r["keyword"])), lambda r: _matches(p, r)), lambda m: m.isNotNull()))))
         done = lambda s: F.struct(sum(counts[1:], counts[0]).alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), base.alias("base"), s["labels"].alias("labels"), s["score"].alias("score"))
         return let(_swept(found), done)
 

@@ -128,6 +128,58 @@ def test_license_rules_against_loop(spark):
     assert labels <= keep and {"gpl-3.0", "apache-2.0", "bsd-3-clause"} <= labels
 
 
+def made_for(pattern):
+    """Texts that match a rule's pattern: every choice of an alternative, with and without each optional part, up to 400."""
+    import re._parser as parser
+
+    def grow(items):
+        texts = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "NOT_LITERAL":
+                more = ["x"]
+            elif op == "IN":
+                more = ["x"] if str(arg[0][0]) == "NEGATE" else [chr(c) for _, c in arg]
+            elif op == "BRANCH":
+                more = [x for branch in arg[1] for x in grow(branch)]
+            elif op == "SUBPATTERN":
+                more = grow(arg[3])
+            elif op == "MAX_REPEAT":
+                more = ([] if arg[0] else [""]) + grow(arg[2])
+            else:
+                assert op in ("ASSERT", "ASSERT_NOT"), op
+                more = [""]
+            texts = list(dict.fromkeys(a + b for a in texts for b in more))[:400]
+        return texts
+
+    return grow(parser.parse(pattern))
+
+
+def test_license_rules_against_ungated_loop(spark):
+    """Every rule finds the texts made for it: no keyword and no gate hides a match."""
+    texts = []
+    for r in licenses.rules():
+        made = made_for(r["re"])
+        assert all(re.search(r["re"], f" {x} ") and r["keyword"] in x and re.search(licenses.GATE, x) for x in made), r
+        texts += [made[0], made[len(made) // 2], made[-1]]
+    spdx = "GPL-1.0 GPL-2.0-or-later GPL-3.0-or-later LGPL-2.1 LGPL-3.0-only AGPL-3.0 MPL-2.0 EPL-2.0 CDDL-1.0 EUPL-1.2 CC-BY-4.0 CC-BY-SA-4.0 OFL-1.1 BUSL-1.1 ODbL-1.0".split()
+    want_spdx = "gpl-1.0 gpl-2.0 gpl-3.0 lgpl-2.1 lgpl-3.0 agpl-3.0 mpl-2.0 epl-2.0 cddl eupl cc-by-4.0 cc-by-sa-4.0 ofl-1.1 bsl-1.1 odbl-1.0".split()
+    texts = list(dict.fromkeys(texts)) + [f"// SPDX-License-Identifier: {x}" for x in spdx]
+    texts += ["the Expat License", "Zero Clause BSD", "GNU Library General Public License", "do what the fuck you want to public license", "General Public License version 1"]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()}
+    rules = licenses.rules()
+    for i, t in enumerate(texts):
+        line = " " + " ".join(re.findall(ALNUM, lower(t))) + " "
+        found = sorted({(m.start(), -m.end(), -r["priority"], r["label"]) for r in rules for m in re.finditer(r["re"], line)})
+        kept = {d[3] for k, d in enumerate(found) if not any(x[0] <= d[0] and x[1] <= d[1] and x[2] <= d[2] for x in found[:k])}
+        assert got[i] == kept | {label for phrase, label in licenses.BASE if f" {phrase} " in line}, t
+    n = len(texts) - len(spdx) - 5
+    assert all(label in got[n + k] for k, label in enumerate(want_spdx))
+    assert [label in got[n + len(spdx) + k] for k, label in enumerate(("mit", "0bsd", "lgpl", "wtfpl", "gpl-1.0"))] == [True] * 5
+
+
 def shingle_sets(rows, width):
     out = []
     for i, t in rows:
