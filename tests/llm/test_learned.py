@@ -65,6 +65,22 @@ def test_toxicity_restores_and_generalises(spark):
     assert toxicity.score(docs.limit(0), lexicon, ["doc_id"]).count() == 0
 
 
+def test_toxicity_restores_whole_tokens_and_runs():
+    """Words stay found whatever the length of the token or run that hides them, and wherever they stand in it."""
+    common = ["you", "are", "a", "an", "the", "this", "that", "is", "hello", "there", "house", "people", "garden", "window", "morning", "water", "never", "always", "such"]
+    scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 6.0, "stupid": 6.0}, -2.5, {w: 3.0 for w in common}))
+    spaced = lambda t: " ".join(t.replace(" ", ""))
+    long = "you are such a stupid people in the morning house there"
+    for hidden in (
+        "i" * 41 + "diot", "1" * 60 + "d10t", "1d10t" + "!" * 40, "hello-there-people-garden-window-1d10t-morning-water", "_".join(common[4:]) + "_1d10t",
+        spaced("a stupid"), spaced("you are stupid"), spaced(long), spaced(" ".join(common) + " stupid " + " ".join(common)), "-".join("youarestupid"), spaced("you are an id10t"),
+    ):
+        assert scorer.score(f"garden {hidden} window") >= 0.7, hidden
+    for clean in (spaced(" ".join(common)), "hello-there-people-garden-window-4lways-morning-water", "http://house.garden/" + "water/never_" * 30, "a" * 300):
+        assert scorer.score(f"garden {clean} window") < 0.7, clean
+    assert toxicity.restore("x1" * 20_000, scorer.model, toxicity.ANYWHERE)
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
