@@ -10,6 +10,7 @@ voting with a check of every voter.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import struct
 import zlib
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import settle, table
 
 SCALES = (1.0, 0.75, 0.5)
-#: Corners described in each scale of an image, strongest first: part of the descriptor's definition.
-CORNERS = 60
+#: Corners whose patches are held at once.
+BLOCK = 4096
 BITS, BANDS, MAX_DISTANCE = 256, 16, 40
 MIN_INLIERS = 6
 _RADIUS = 12
@@ -33,7 +34,7 @@ _PAIRS = np.clip(_rng.normal(0, _RADIUS / 2.2, (BITS, 4)), -_RADIUS + 1, _RADIUS
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Grey levels of a PGM (P5) or of an 8-bit grey, RGB or RGBA PNG; None for anything else or broken."""
+    """Grey levels of a PGM (P5) or of a PNG of any kind; None for anything else or broken."""
     try:
         if data is None:
             return None
@@ -56,35 +57,66 @@ def decode(data: bytes | None) -> np.ndarray | None:
     return None
 
 
+def _unfiltered(raw: np.ndarray, k: int) -> np.ndarray:
+    """Bytes of a PNG's lines, each behind its filter's number; ``k`` bytes lie between a byte and its left neighbour."""
+    out = np.zeros((raw.shape[0], raw.shape[1] - 1), np.int32)
+    for y in range(len(out)):
+        kind, line = int(raw[y, 0]), raw[y, 1:].astype(np.int32)
+        up = out[y - 1] if y else np.zeros(out.shape[1], np.int32)
+        if kind == 2:
+            line = (line + up) & 255
+        elif kind in (1, 3, 4):
+            for x in range(len(line)):
+                a, b, c = (line[x - k] if x >= k else 0), up[x], (up[x - k] if x >= k else 0)
+                p = a + b - c
+                paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+                line[x] = (line[x] + (a if kind == 1 else (a + b) // 2 if kind == 3 else paeth)) & 255
+        out[y] = line
+    return out
+
+
+#: First column and row, and steps, of an interlaced PNG's passes.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def _png(data: bytes) -> np.ndarray | None:
-    at, packed, head = 8, b"", None
+    at, packed, head, palette = 8, b"", None, b""
     while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + n]
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = body
         elif kind == b"IDAT":
             packed += body
         at += 12 + n
-    if head is None or head[2] != 8 or head[3] not in (0, 2, 6) or head[6]:
+    if head is None or head[2] not in (1, 2, 4, 8, 16):
         return None
-    w, h, k = head[0], head[1], {0: 1, 2: 3, 6: 4}[head[3]]
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * k)
-    out = np.zeros((h, w * k), np.int32)
-    for y in range(h):
-        kind, line = int(raw[y, 0]), raw[y, 1:].astype(np.int32)
-        up = out[y - 1] if y else np.zeros(w * k, np.int32)
-        if kind == 2:
-            line = (line + up) & 255
-        elif kind in (1, 3, 4):
-            for x in range(w * k):
-                a, b, c = (line[x - k] if x >= k else 0), up[x], (up[x - k] if x >= k else 0)
-                p = a + b - c
-                paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
-                line[x] = (line[x] + (a if kind == 1 else (a + b) // 2 if kind == 3 else paeth)) & 255
-        out[y] = line
-    pixels = out.reshape(h, w, k).astype(np.float32)
-    return pixels[..., 0] if k == 1 else pixels[..., :3] @ np.array([0.299, 0.587, 0.114], np.float32)
+    w, h, depth, color = head[:4]
+    k = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    stream, at = zlib.decompress(packed), 0
+    grey = np.zeros((h, w), np.float32)
+    for x0, y0, dx, dy in _PASSES if head[6] else ((0, 0, 1, 1),):
+        pw, ph = len(range(x0, w, dx)), len(range(y0, h, dy))
+        if not pw or not ph:
+            continue
+        size = (pw * k * depth + 7) // 8
+        lines = _unfiltered(np.frombuffer(stream, np.uint8, ph * (1 + size), at).reshape(ph, 1 + size), max(1, k * depth // 8))
+        at += ph * (1 + size)
+        if depth == 16:
+            lines = (lines[:, ::2] * 256 + lines[:, 1::2]) / 257
+        elif depth < 8:
+            bits = np.unpackbits(lines.astype(np.uint8), axis=1).reshape(ph, -1, depth)
+            lines = (bits @ (1 << np.arange(depth)[::-1]))[:, : pw * k]
+            if color != 3:
+                lines = lines * (255 / ((1 << depth) - 1))
+        pixels = lines.reshape(ph, pw, k)
+        if color == 3:
+            pixels = np.frombuffer(palette, np.uint8).reshape(-1, 3)[pixels[..., 0]]
+        pixels = pixels.astype(np.float32)
+        grey[y0::dy, x0::dx] = pixels[..., 0] if color in (0, 4) else pixels[..., :3] @ np.array([0.299, 0.587, 0.114], np.float32)
+    return grey
 
 
 def encode_pgm(image: np.ndarray) -> bytes:
@@ -126,45 +158,53 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner = corner[m : h - m, m : w - m]
         near = np.lib.stride_tricks.sliding_window_view(corner[m - 2 : h - m + 2, m - 2 : w - m + 2], (5, 5)).max((2, 3))
         ys, xs = np.nonzero((inner >= near) & (inner > 1e-3 * max(corner.max(), 1e-9)))
-        order = np.lexsort((xs, ys, -inner[ys, xs]))[:CORNERS]
-        ys, xs = ys[order] + m, xs[order] + m
-        if not len(ys):
-            continue
+        order = np.lexsort((xs, ys, -inner[ys, xs]))
+        all_ys, all_xs = ys[order] + m, xs[order] + m
         d = np.arange(-_RADIUS, _RADIUS + 1)
         disc = (d[:, None] ** 2 + d[None, :] ** 2) <= _RADIUS**2
-        patch = im[ys[:, None, None] + d[:, None], xs[:, None, None] + d[None, :]] * disc
-        turn = np.arctan2((patch * d[:, None]).sum((1, 2)), (patch * d[None, :]).sum((1, 2)))
-        cos, sin = np.cos(turn)[:, None], np.sin(turn)[:, None]
-
-        def at(px, py, im=im, xs=xs, ys=ys, cos=cos, sin=sin, h=h, w=w):
-            x = np.clip(np.round(xs[:, None] + cos * px - sin * py).astype(int), 0, w - 1)
-            y = np.clip(np.round(ys[:, None] + sin * px + cos * py).astype(int), 0, h - 1)
-            return im[y, x]
-
-        test = at(_PAIRS[:, 0], _PAIRS[:, 1]) < at(_PAIRS[:, 2], _PAIRS[:, 3])
-        bits.append(np.packbits(test, axis=1).view(np.int64))
-        points.append(np.stack([(xs + 0.5) / scale, (ys + 0.5) / scale, np.full(len(xs), 1 / scale), turn], axis=1))
+        for i in range(0, len(order), BLOCK):
+            ys, xs = all_ys[i : i + BLOCK], all_xs[i : i + BLOCK]
+            patch = im[ys[:, None, None] + d[:, None], xs[:, None, None] + d[None, :]] * disc
+            turn = np.arctan2((patch * d[:, None]).sum((1, 2)), (patch * d[None, :]).sum((1, 2)))
+            cos, sin = np.cos(turn)[:, None], np.sin(turn)[:, None]
+
+            def at(px, py, im=im, xs=xs, ys=ys, cos=cos, sin=sin, h=h, w=w):
+                x = np.clip(np.round(xs[:, None] + cos * px - sin * py).astype(int), 0, w - 1)
+                y = np.clip(np.round(ys[:, None] + sin * px + cos * py).astype(int), 0, h - 1)
+                return im[y, x]
+
+            test = at(_PAIRS[:, 0], _PAIRS[:, 1]) < at(_PAIRS[:, 2], _PAIRS[:, 3])
+            bits.append(np.packbits(test, axis=1).view(np.int64))
+            points.append(np.stack([(xs + 0.5) / scale, (ys + 0.5) / scale, np.full(len(xs), 1 / scale), turn], axis=1))
     if not points:
         return np.zeros((0, 4)), np.zeros((0, BITS // 64), np.int64)
     return np.concatenate(points), np.concatenate(bits)
 
 
 def descriptors(images: DataFrame, image_id: str, column: str) -> DataFrame:
-    """(id, k, x, y, scale, turn, bits): one row for each corner; images that can't be read have none."""
+    """(id, k, x, y, scale, turn, bits, pixels): one row for each corner; images that can't be read have none.
+
+    An image without corners has one row, k = -1, with a hash of its shape and grey levels as pixels.
+    """
+    names = ["id", "k", "x", "y", "scale", "turn", "bits", "pixels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 grey = decode(batch.column(1)[i].as_py())
-                if grey is None or min(grey.shape) < 2:
+                if grey is None or not grey.size:
                     continue
                 p, b = describe(grey)
-                n = len(p)
+                n, pixels = len(p), None
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(p[:, j]) for j in range(4)], pa.array(list(b), pa.list_(pa.int64()))], ["id", "k", "x", "y", "scale", "turn", "bits"])
+                    k = np.arange(n, dtype=np.int32)
+                else:
+                    n, k, p, b = 1, np.full(1, -1, np.int32), np.zeros((1, 4)), [None]
+                    pixels = hashlib.sha256(repr(grey.shape).encode() + np.ascontiguousarray(grey, np.float32).tobytes()).hexdigest()
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array(k), *[pa.array(p[:, j]) for j in range(4)], pa.array(list(b), pa.list_(pa.int64())), pa.array([pixels] * n, pa.string())], names)
 
     source = images.select(F.col(image_id).cast("long").alias("id"), F.col(column).alias("image")).filter("id IS NOT NULL")
-    return source.mapInArrow(run, "id long, k int, x double, y double, scale double, turn double, bits array<long>")
+    return source.mapInArrow(run, "id long, k int, x double, y double, scale double, turn double, bits array<long>, pixels string")
 
 
 def consensus(m: np.ndarray) -> int:
@@ -188,11 +228,16 @@ def copies(queries: DataFrame, images: DataFrame, image_id: str = "id", column:
 
     An image is never a copy of the row with its own id.  Images of equal
     descriptors are searched once: a class stands for its members, and its
-    matches hold for all of them.  Null ids and broken or empty images take no
-    part; repeated rows of one id count once.
+    matches hold for all of them.  Images without corners are copies if all their
+    pixels are equal, with no matches and no inliers.  Null ids and broken or
+    empty images take no part; repeated rows of one id count once.
     """
-    x = settle(descriptors(images, image_id, column).dropDuplicates(["id", "k"]))
-    q = settle(descriptors(queries, image_id, column).dropDuplicates(["id", "k"]))
+    x_all = settle(descriptors(images, image_id, column).dropDuplicates(["id", "k"]))
+    q_all = settle(descriptors(queries, image_id, column).dropDuplicates(["id", "k"]))
+    plain = lambda df, name: df.filter("k < 0").select(F.col("id").alias(name), "pixels")
+    none = F.lit(0).cast("long")
+    equal = plain(q_all, "query_id").join(plain(x_all, "image_id"), "pixels").filter("query_id <> image_id").select("query_id", "image_id", none.alias("n_matches"), none.alias("n_inliers")).distinct()
+    q, x = q_all.filter("k >= 0"), x_all.filter("k >= 0")
     # a descriptor found in many images is kept once in the table; members are joined back by its bits
     banded = lambda df: df.select("bits", F.posexplode(F.flatten(F.transform("bits", lambda v: F.transform(F.sequence(F.lit(0), F.lit(48), F.lit(16)), lambda s: F.call_function("shiftright", v, s).bitwiseAND(F.lit(0xFFFF)))))).alias("band", "value"))
     d = sum((F.bit_count(F.get("qb", j).bitwiseXOR(F.get("xb", j))) for j in range(1, BITS // 64)), F.bit_count(F.get("qb", 0).bitwiseXOR(F.get("xb", 0))))
@@ -206,7 +251,7 @@ def copies(queries: DataFrame, images: DataFrame, image_id: str = "id", column:
             m = [np.array(r, np.float64) for r in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) for r in m], pa.int64()), pa.array([consensus(r) for r in m], pa.int64())], ["query_id", "image_id", "n_matches", "n_inliers"])
 
-    return lists.mapInArrow(run, "query_id long, image_id long, n_matches long, n_inliers long").filter(F.col("n_inliers") >= min_inliers)
+    return lists.mapInArrow(run, "query_id long, image_id long, n_matches long, n_inliers long").filter(F.col("n_inliers") >= min_inliers).union(equal)
 
 
 def rendered(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cropped: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ import html as html_lib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -127,6 +128,38 @@ def test_images(spark):
     assert images.copies(odd, odd).count() == 0
 
 
+def png(rows, w, h, depth, color, palette=b"", interlaced=0):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"\0" * 4
+    head = struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, interlaced)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+
+
+def test_images_png_kinds():
+    im = (np.arange(35).reshape(5, 7) * 7 % 256).astype(np.uint8)
+    passes = [im[y0::dy, x0::dx] for x0, y0, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))]
+    kinds = [
+        png([r.tobytes() for r in im], 7, 5, 8, 3, bytes(v for g in range(256) for v in (g, g, g))),
+        png([(r.astype(">u2") * 257).tobytes() for r in im], 7, 5, 16, 0),
+        png([np.stack([r, r // 2], 1).tobytes() for r in im], 7, 5, 8, 4),
+        png([r.tobytes() for p in passes if p.size for r in p], 7, 5, 8, 0, interlaced=1),
+    ]
+    assert all(np.allclose(images.decode(x), im, atol=1e-2) for x in kinds)
+    assert np.array_equal(images.decode(png([b"\xa0", b"\x40"], 3, 2, 1, 0)), [[255, 0, 255], [0, 255, 0]])
+
+
+def test_images_small_crop_of_a_large_image_and_no_corners(spark):
+    """A weak part of a large picture is found by its own corners; images without corners by their pixels."""
+    r = np.random.Generator(np.random.PCG64(3))
+    large = 128 + images.resize(r.normal(0, 45, (120, 120)), 480, 480)
+    weak = (slice(200, 290), slice(180, 270))
+    large[weak] = 128 + (large[weak] - 128) * 0.35
+    flat, tiny = np.full((50, 50), 9.0), r.integers(0, 255, (12, 1))
+    rows = [(1, large), (2, 128 + images.resize(r.normal(0, 45, (120, 120)), 480, 480)), (3, flat), (4, flat + 1), (5, tiny), (6, tiny), (7, flat[:, :49])]
+    table = spark.createDataFrame([(i, images.encode_pgm(x)) for i, x in rows], "id long, image binary")
+    queries = spark.createDataFrame([(-1, images.encode_pgm(large[weak])), (-3, images.encode_pgm(flat)), (5, images.encode_pgm(tiny))], "id long, image binary")
+    assert {(x.query_id, x.image_id) for x in images.copies(queries, table).collect()} == {(-1, 1), (-3, 3), (5, 6)}
+
+
 def test_pipeline_stages(spark):
     """Each stage's decisions on its own input, against the plain definitions."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
