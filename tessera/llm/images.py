@@ -2,8 +2,9 @@
 
 Corners are found at several scales of a grey image; each gets a direction
 (from the intensity centroid) and 256 brightness comparisons in a patch turned
-that way.  A descriptor's bits are cut into bands; a Hamming table joins equal
-bands, and the full distance confirms a match.  Matches of two images count if
+that way.  A descriptor's bits are cut into bands; a Hamming table joins bands
+that differ in so few bits that no pair within the greatest distance is
+missed, and the full distance confirms a match.  Matches of two images count if
 they agree on one similarity transform (scale, turn and shift), found by
 voting with a check of every voter.
 """
@@ -11,6 +12,7 @@ voting with a check of every voter.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import struct
 import zlib
@@ -28,6 +30,9 @@ SCALES = (1.0, 0.75, 0.5)
 BLOCK = 4096
 BITS, BANDS, MAX_DISTANCE = 256, 16, 40
 MIN_INLIERS = 6
+#: Bit changes of a band: of BANDS bands, one differs in at most this many bits when all together differ in MAX_DISTANCE.
+_BAND_BITS, _NEAR = BITS // BANDS, MAX_DISTANCE // BANDS
+_MASKS = [sum(1 << b for b in c) for n in range(_NEAR + 1) for c in itertools.combinations(range(_BAND_BITS), n)]
 _RADIUS = 12
 _rng = np.random.Generator(np.random.PCG64(11))
 _PAIRS = np.clip(_rng.normal(0, _RADIUS / 2.2, (BITS, 4)), -_RADIUS + 1, _RADIUS - 1)
@@ -223,6 +228,15 @@ def consensus(m: np.ndarray) -> int:
     return best
 
 
+def near_bits(q: DataFrame, x: DataFrame) -> DataFrame:
+    """(qb, xb): all pairs of descriptors (bits) within MAX_DISTANCE; the changes of a band are tried on the side of ``q``."""
+    banded = lambda df: df.select("bits").distinct().select("bits", F.posexplode(F.flatten(F.transform("bits", lambda v: F.transform(F.sequence(F.lit(0), F.lit(48), F.lit(16)), lambda s: F.call_function("shiftright", v, s).bitwiseAND(F.lit(0xFFFF)))))).alias("band", "value"))
+    tried = banded(q).select(F.col("bits").alias("qb"), "band", F.explode(F.transform(F.lit(_MASKS), lambda m: F.col("value").bitwiseXOR(m.cast("long")))).alias("value"))
+    d = sum((F.bit_count(F.get("qb", j).bitwiseXOR(F.get("xb", j))) for j in range(1, BITS // 64)), F.bit_count(F.get("qb", 0).bitwiseXOR(F.get("xb", 0))))
+    # the tried bands are far larger than their source's size tells, so they must not be broadcast
+    return tried.hint("merge").join(banded(x).withColumnRenamed("bits", "xb"), ["band", "value"]).filter(d <= MAX_DISTANCE).select("qb", "xb").distinct()
+
+
 def copies(queries: DataFrame, images: DataFrame, image_id: str = "id", column: str = "image", min_inliers: int = MIN_INLIERS) -> DataFrame:
     """(query_id, image_id, n_matches, n_inliers) of images that are copies of a query image, cropped or edited or not.
 
@@ -239,9 +253,7 @@ def copies(queries: DataFrame, images: DataFrame, image_id: str = "id", column:
     equal = plain(q_all, "query_id").join(plain(x_all, "image_id"), "pixels").filter("query_id <> image_id").select("query_id", "image_id", none.alias("n_matches"), none.alias("n_inliers")).distinct()
     q, x = q_all.filter("k >= 0"), x_all.filter("k >= 0")
     # a descriptor found in many images is kept once in the table; members are joined back by its bits
-    banded = lambda df: df.select("bits", F.posexplode(F.flatten(F.transform("bits", lambda v: F.transform(F.sequence(F.lit(0), F.lit(48), F.lit(16)), lambda s: F.call_function("shiftright", v, s).bitwiseAND(F.lit(0xFFFF)))))).alias("band", "value"))
-    d = sum((F.bit_count(F.get("qb", j).bitwiseXOR(F.get("xb", j))) for j in range(1, BITS // 64)), F.bit_count(F.get("qb", 0).bitwiseXOR(F.get("xb", 0))))
-    near = banded(q.select("bits").distinct()).withColumnRenamed("bits", "qb").join(banded(x.select("bits").distinct()).withColumnRenamed("bits", "xb"), ["band", "value"]).filter(d <= MAX_DISTANCE).select("qb", "xb").distinct()
+    near = near_bits(q, x)
     side = lambda df, p: df.select(F.col("id").alias(f"{p}id"), F.col("bits").alias(f"{p}b"), *[F.col(c).alias(p + c) for c in ("x", "y", "scale", "turn")])
     matched = side(q, "q").join(near, "qb").join(side(x, "x"), "xb").filter("qid <> xid")
     lists = matched.groupBy("qid", "xid").agg(F.sort_array(F.collect_set(F.array("qx", "qy", "qscale", "qturn", "xx", "xy", "xscale", "xturn"))).alias("m")).filter(F.size("m") >= min_inliers)
@@ -255,12 +267,13 @@ def copies(queries: DataFrame, images: DataFrame, image_id: str = "id", column:
 
 
 def rendered(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cropped: bool = False) -> DataFrame:
-    """(id, image): a PGM of each vector, for tables that hold no images: smooth cells of its values and a texture seeded by them.
+    """(id, image): a PGM of each vector, for tables that hold no images: smooth cells of its values and a texture that is a fixed linear function of them, so near vectors give near pictures.
 
     ``cropped`` cuts a border off, changes brightness and contrast and adds noise.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: dict[int, np.ndarray] = {}
         for batch in batches:
             out = []
             for v in batch.column(1).to_pylist():
@@ -268,8 +281,10 @@ def rendered(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
                 seed = zlib.crc32(e.astype("<f4").tobytes())
                 side = max(2, math.isqrt(max(4, len(e))))
                 grid = np.resize(e, (side, side)) if len(e) else np.zeros((side, side))
-                r = np.random.Generator(np.random.PCG64(seed))
-                im = 128 + 60 * resize(grid / (np.abs(grid).max() or 1.0), 128, 128) + resize(r.normal(0, 40, (32, 32)), 128, 128)
+                if len(e) not in weights:
+                    weights[len(e)] = np.random.Generator(np.random.PCG64(len(e))).normal(0, 40, (32 * 32, len(e)))
+                texture = (weights[len(e)] @ (e / (np.linalg.norm(e) or 1.0))).reshape(32, 32)
+                im = 128 + 60 * resize(grid / (np.abs(grid).max() or 1.0), 128, 128) + resize(texture, 128, 128)
                 if cropped:
                     im = 0.85 * im[14:118, 10:114] + 14 + np.random.Generator(np.random.PCG64(seed + 1)).normal(0, 2, (104, 104))
                 out.append(encode_pgm(im))

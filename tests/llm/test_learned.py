@@ -134,6 +134,28 @@ def png(rows, w, h, depth, color, palette=b"", interlaced=0):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
 
 
+def test_images_every_near_descriptor_is_a_candidate(spark):
+    """Recall of descriptor pairs against brute force is 1 up to the greatest distance, even with the changed bits spread evenly."""
+    r = np.random.Generator(np.random.PCG64(5))
+    base = r.integers(0, 2, (60, images.BITS)).astype(np.uint8)
+    other = base.copy()
+    for i, row in enumerate(other):
+        n = (15, 16, 30, 35, 39, 40, 41, 44)[i % 8]
+        row[np.arange(n) * images.BITS // n if i % 3 == 0 else r.choice(images.BITS, n, replace=False)] ^= 1
+    packed = lambda a: [x.tolist() for x in np.packbits(a, axis=1).view(np.int64)]
+    frame = lambda a: spark.createDataFrame([(x,) for x in packed(a)], "bits array<long>")
+    got = {(tuple(x.qb), tuple(x.xb)) for x in images.near_bits(frame(base), frame(other)).collect()}
+    q, x = packed(base), packed(other)
+    assert got == {(tuple(q[i]), tuple(x[j])) for i in range(60) for j in range(60) if (base[i] != other[j]).sum() <= images.MAX_DISTANCE} and len(got) >= 44
+
+
+def test_images_near_vectors_give_near_pictures(spark):
+    e = np.random.Generator(np.random.PCG64(6)).normal(0, 1, 64)
+    rows = [(1, e.tolist()), (2, (e + 1e-4).tolist())]
+    a, b = (images.decode(x.image) for x in images.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("id").collect())
+    assert np.abs(a - b).mean() < 2
+
+
 def test_images_png_kinds():
     im = (np.arange(35).reshape(5, 7) * 7 % 256).astype(np.uint8)
     passes = [im[y0::dy, x0::dx] for x0, y0, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))]
