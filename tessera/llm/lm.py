@@ -2,7 +2,7 @@
 
 P(word | history) = P(class | history) * P(word | class, history).  Both
 factors are log-linear in hashed features of the history: the word before, the
-two before, and words two and three before (skips).  The most frequent words
+two before, and the word two before alone (a skip).  The most frequent words
 have classes of their own; all others share one class, inside which a word has
 its smoothed share of that class's training tokens.
 
