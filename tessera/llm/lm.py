@@ -1,21 +1,25 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history).  Both
-factors are log-linear in hashed features of the history: the word before, the
-two before, and the word two before alone (a skip).  The most frequent words
-have classes of their own; all others share one class, inside which a word has
-its smoothed share of that class's training tokens.
-
-Training reads every training text once.  In each round every task starts from
-the same parameters, takes its gradient steps, and hands in what it changed;
-Spark adds the changes up, weighted by how often a row was touched.  What the
-driver and a worker hold (parameters, the table of frequent words) has a fixed
-size; all other counts stay in tables and are joined.
+The whole vocabulary is factored into nested classes of up to 16: frequent words
+by a Huffman tree over their counts, all others below one leaf of it, by digits
+of their hash, down to bins of some 16 words.  So
+P(word | history) = P(class | history) * P(class | class, history) * ... and
+every factor is log-linear in hashed features of the history: the word before,
+the two before, and the words two and three before alone (skips).  Inside its
+bin a rare word has its smoothed share of the bin's training tokens.
+
+Training goes over all training texts in every round.  Tasks add up how often
+each feature was observed with each class and how often the parameters so far
+expect it; Spark sums that, and the step follows the difference, scaled by its
+size.  The sums, and so the model, do not depend on how rows are dealt to tasks.
+What the driver and a worker hold (parameters, the table of frequent words) has
+a fixed bound; all other counts stay in tables and are joined.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,19 +29,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytegrid import SPACED, Words, mix, signed, text_bytes
-from tessera.llm.common import pieces, settle, table
+from tessera.llm.common import lean, pieces, settle, table
 
-#: Classes of frequent words, words in each; the class after the last holds all other words.
-CLASSES, CLASS_WORDS = 32, 32
-#: Hashed rows of the class and of the word parameters.
-ROWS = 1 << 14
-#: Words whose counts every worker holds; the counts of all others are joined.
+#: Outcomes of a class, and words of a bin on average at most.
+WIDTH, BIN_WORDS = 16, 16
+#: Words with a path of their own, whose counts every worker holds; the counts of all others are joined.
 FREQUENT = 1 << 17
-ROUNDS, RATE, BATCH = 2, 0.15, 8192
+#: Hashed parameter rows: a power of two that grows with the training tokens up to 2**18 (16 MiB), shared out to the features.
+LEAST_ROW_BITS, MOST_ROW_BITS = 10, 18
+#: Steps of the rounds, each over all training rows, and what damps rarely seen features.
+STEPS, DAMPING = (0.6, 0.3), 5.0
+#: Tokens handled at once.
+BATCH = 8192
+#: Splits of the training texts that a task of a training round reads.
+SPLITS = 4
 END = np.uint64(0x2545F4914F6CDD1D)
 _BEGIN = np.uint64(0x6A09E667F3BCC909)
-_FEATURES = 4
+_HASHED = np.uint64(1 << 63)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_FEATURES = 5
 _NEVER = -30.0
+_BLOCK = 256
+_DIGIT = WIDTH.bit_length() - 1
 
 
 def tokens(batch_column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,150 +62,174 @@ def tokens(batch_column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.nda
     return out, np.concatenate([words.first + np.arange(n + 1)])
 
 
-def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Four feature hashes of each token's history; feature 0 is the bias."""
-    out = np.zeros((_FEATURES, len(h)), np.uint64)
+def features(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Four feature hashes of each token's history: the word before, the two before, the words two and three before."""
     back = []
     place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-    for d in (1, 2):
+    for d in (1, 2, 3):
         b = np.full(len(h), _BEGIN, np.uint64)
         b[d:] = h[:-d]
         b[place < d] = _BEGIN
         back.append(b)
-    out[1] = mix(back[0] + np.uint64(1))
-    out[2] = mix(out[1] ^ mix(back[1] + np.uint64(2)))
-    out[3] = mix(back[1] + np.uint64(3))
-    return out
+    one = mix(back[0] + np.uint64(1))
+    return [one, mix(one ^ mix(back[1] + np.uint64(2))), mix(back[1] + np.uint64(3)), mix(back[2] + np.uint64(4))]
+
+
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, node, digit, log shares) of a Huffman tree of WIDTH branches: each leaf's path from the root, node 0, and each node's shares."""
+    n = len(weights)
+    order = np.argsort(weights, kind="stable")
+    leaves = deque([(0.0, -1)] * (-(n - 1) % (WIDTH - 1)) + [(float(weights[i]), int(i)) for i in order])
+    inner: deque = deque()
+    parent, digit, masses = np.zeros(2 * n + 2, np.int64), np.zeros(2 * n + 2, np.uint8), []
+    while len(leaves) + len(inner) > 1 or not masses:
+        total, row = 0.0, np.zeros(WIDTH)
+        for k in range(min(WIDTH, len(leaves) + len(inner))):
+            w, i = (leaves if not inner or (leaves and leaves[0][0] <= inner[0][0]) else inner).popleft()
+            total += w
+            row[k] = w
+            if i >= 0:
+                parent[i], digit[i] = len(masses), k
+        inner.append((total, n + len(masses)))
+        masses.append(row)
+    nodes = len(masses)
+    depth = np.zeros(n + nodes, np.int64)
+    for i in range(nodes - 2, -1, -1):
+        depth[n + i] = depth[n + parent[n + i]] + 1
+    depth[:n] = depth[n + parent[:n]] + 1
+    deepest = int(depth[:n].max())
+    node, digits = np.zeros((n, deepest), np.int32), np.zeros((n, deepest), np.uint8)
+    at, left, rows = np.arange(n), depth[:n].copy(), np.arange(n)
+    while len(rows):
+        node[rows, left - 1], digits[rows, left - 1] = nodes - 1 - parent[at], digit[at]
+        at, left = n + parent[at], left - 1
+        go = left > 0
+        rows, at, left = rows[go], at[go], left[go]
+    m = np.array(masses[::-1])
+    shares = np.where(m > 0, np.log(np.maximum(m, 1e-12)) - np.log(np.maximum(m.sum(1, keepdims=True), 1e-12)), _NEVER)
+    return depth[:n], node, digits, shares.astype(np.float32)
 
 
 @dataclass
 class Counts:
-    """Training counts: the frequent words (sorted hashes with counts and model places) and totals."""
+    """Training counts: the frequent words (sorted hashes with counts), found ``least`` times at least, and totals; from them follow the nested classes."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    places: np.ndarray
+    least: int
     total: int
     distinct: int
-    model_total: int
-    model_words: int
+
+    def __post_init__(self):
+        self.rare_words = self.distinct - len(self.hashes)
+        rare = self.total - int(self.counts.sum()) + 0.5 * (self.rare_words + 1)
+        #: digits of a rare word's hash that are classes, and the bits of its bin
+        self.levels = max(0, math.ceil(math.log(max(1, self.rare_words) / BIN_WORDS, WIDTH) - 1e-9))
+        self.bin_mask = (1 << (_DIGIT * self.levels)) - 1
+        self.depth, self.node, self.digit, self.shares = huffman(np.append(self.counts + 0.5, rare))
+        bits = max(LEAST_ROW_BITS, min(MOST_ROW_BITS, math.ceil(math.log2(max(2, self.total)))))
+        #: rows of each feature; the first one's are those of hashed classes
+        self.row_bits = [bits - 2] * 3 + [bits - 3] * 2
+        self.first_row = np.cumsum([len(self.shares)] + [1 << b for b in self.row_bits])
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(is a frequent word, its count, its place among the model's words or -1)."""
-        if not len(self.hashes):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.full(len(h), -1, np.int32)
-        i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        """(is a frequent word, its count, its leaf); all other words have the last leaf."""
+        n = len(self.hashes)
+        if not n:
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        i = np.minimum(np.searchsorted(self.hashes, h), n - 1)
         known = self.hashes[i] == h
-        return known, np.where(known, self.counts[i], 0), np.where(known, self.places[i], -1)
+        return known, np.where(known, self.counts[i], 0), np.where(known, i, n)
 
     @property
     def norm(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    @property
-    def rare_norm(self) -> float:
-        return self.total - self.model_total + 0.5 * (self.distinct - self.model_words + 1)
-
 
 class Model:
-    """Class parameters (ROWS x CLASSES+1) and word parameters (CLASSES + ROWS x CLASS_WORDS); row 0 and rows below CLASSES are the biases."""
+    """Parameter rows of WIDTH: one for each class of the tree, holding its shares at first, then the hashed rows of each feature."""
 
-    def __init__(self, counts: Counts, params: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, counts: Counts, params: np.ndarray | None = None):
+        self.counts = counts
         if params is None:
-            order = np.argsort(counts.places)
-            c = counts.counts[order][counts.places[order] >= 0].astype(np.float64)
-            grid = np.zeros(CLASSES * CLASS_WORDS)
-            grid[: len(c)] = c
-            grid = grid.reshape(CLASSES, CLASS_WORDS)
-            by_class = np.append(grid.sum(1), counts.rare_norm)
-            a = np.zeros((ROWS, CLASSES + 1), np.float32)
-            a[0] = np.where(by_class > 0, np.log(np.maximum(by_class, 1e-9)) - math.log(max(by_class.sum(), 1e-9)), _NEVER)
-            b = np.zeros((CLASSES + ROWS, CLASS_WORDS), np.float32)
-            b[:CLASSES] = np.where(grid > 0, np.log(np.maximum(grid, 1e-9)) - np.log(np.maximum(grid.sum(1, keepdims=True), 1e-9)), _NEVER)
-            params = (a, b)
-        self.a, self.b = params
-
-    @staticmethod
-    def class_rows(f: np.ndarray) -> np.ndarray:
-        rows = (f % np.uint64(ROWS - 1)).astype(np.int32) + 1
-        rows[0] = 0
-        return rows
-
-    @staticmethod
-    def word_rows(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        rows = (mix(f + cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ROWS)).astype(np.int32) + CLASSES
-        rows[0] = cls
-        return rows
-
-    @staticmethod
-    def log_softmax(params: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        s = params[rows[0]]
-        for r in rows[1:]:
-            s = s + params[r]
-        s -= s.max(axis=1, keepdims=True)
-        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-        return s
-
-    def scores(self, f: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Natural log of P(class) * P(word | class); for words outside the model, of P(their class)."""
-        out = np.zeros(len(place))
-        for i in range(0, len(place), BATCH):
-            p, g = place[i : i + BATCH], f[:, i : i + BATCH]
-            own = p >= 0
-            cls = np.where(own, p // CLASS_WORDS, CLASSES)
-            out[i : i + BATCH] = self.log_softmax(self.a, self.class_rows(g))[np.arange(len(p)), cls]
-            if own.any():
-                w = self.log_softmax(self.b, self.word_rows(g[:, own], cls[own]))
-                out[i : i + BATCH][own] += w[np.arange(len(w)), p[own] % CLASS_WORDS]
+            params = np.zeros((int(counts.first_row[-1]), WIDTH), np.float32)
+            params[: len(counts.shares)] = counts.shares
+        self.params = params
+
+    def choices(self, h: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, class, outcome) of every choice on the tokens' paths."""
+        c, parts = self.counts, []
+        depth = c.depth[leaf]
+        for d in range(c.node.shape[1]):
+            t = np.flatnonzero(depth > d)
+            if len(t):
+                parts.append((t, c.node[leaf[t], d].astype(np.uint64), c.digit[leaf[t], d].astype(np.int64)))
+        t = np.flatnonzero(leaf == len(c.hashes))
+        x = h[t]
+        for k in range(c.levels):
+            above = x & np.uint64((1 << (_DIGIT * k)) - 1)
+            parts.append((t, mix(above + np.uint64((k + 1) << 56)) | _HASHED, ((x >> np.uint64(_DIGIT * k)) & np.uint64(WIDTH - 1)).astype(np.int64)))
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    def rows(self, f: list[np.ndarray], token: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The parameter rows of each choice: its class's own and one for each feature."""
+        c = self.counts
+        spread = mix(cls + np.uint64(77))
+        out = np.empty((_FEATURES, len(token)), np.int64)
+        out[0] = np.where(cls < _HASHED, cls, (spread >> np.uint64(64 - c.row_bits[0])) + np.uint64(c.first_row[0]))
+        for k in range(1, _FEATURES):
+            out[k] = (((f[k - 1][token] ^ spread) * _SPREAD) >> np.uint64(64 - c.row_bits[k])) + np.uint64(c.first_row[k])
         return out
 
+    def batches(self, h: np.ndarray, first: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(token, rows, outcome, exp of all outcomes' sums, their total) of the choices, some thousand tokens at a time."""
+        f = features(h, first)
+        for lo in range(0, len(h), BATCH):
+            part = slice(lo, lo + BATCH)
+            token, cls, outcome = self.choices(h[part], leaf[part])
+            rows = self.rows([x[part] for x in f], token, cls)
+            s = np.take(self.params, rows[0], axis=0, mode="clip")
+            one = np.empty_like(s)
+            for r in rows[1:]:
+                s += np.take(self.params, r, axis=0, out=one, mode="clip")
+            np.exp(s, out=s)
+            yield token + lo, rows, outcome, s, np.einsum("ij->i", s)
+
+    def scores(self, h: np.ndarray, first: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural log of each token's path; for rare words, of the path to their bin."""
+        out = np.zeros(len(h))
+        for token, _, outcome, e, total in self.batches(h, first, leaf):
+            out += np.bincount(token, np.log(e[np.arange(len(token)), outcome] / total), len(h))
+        return out
 
-class Trainer:
-    """AdaGrad steps from given parameters; remembers how often each row was touched."""
+
+class Sums:
+    """How often each row was observed with each outcome, and how often the model expects it."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.before = (model.a.copy(), model.b.copy())
-        self.squares = (np.full_like(model.a, 1e-3), np.full_like(model.b, 1e-3))
-        self.touched = (np.zeros(len(model.a), np.float32), np.zeros(len(model.b), np.float32))
-
-    def _step(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        params, squares = (self.model.a, self.model.b)[which], self.squares[which]
-        for r in rows:
-            order = np.argsort(r, kind="stable")
-            sorted_ = r[order]
-            at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            g = np.add.reduceat(gradient[order], at, axis=0)
-            u = sorted_[at]
-            n = np.diff(np.append(at, len(r))).astype(np.float32)
-            g /= np.sqrt(n)[:, None]
-            squares[u] += g * g
-            params[u] -= RATE * g / np.sqrt(squares[u])
-            self.touched[which][u] += n
-
-    def learn(self, f: np.ndarray, place: np.ndarray) -> None:
-        for i in range(0, len(place), BATCH):
-            p, g = place[i : i + BATCH], f[:, i : i + BATCH]
-            own = p >= 0
-            cls = np.where(own, p // CLASS_WORDS, CLASSES)
-            rows = Model.class_rows(g)
-            e = np.exp(Model.log_softmax(self.model.a, rows))
-            e[np.arange(len(p)), cls] -= 1
-            self._step(0, rows, e)
-            if own.any():
-                rows = Model.word_rows(g[:, own], cls[own])
-                e = np.exp(Model.log_softmax(self.model.b, rows))
-                e[np.arange(len(e)), p[own] % CLASS_WORDS] -= 1
-                self._step(1, rows, e)
-
-    def changes(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(part, first row, changes times touches, touches) in blocks of 256 rows."""
-        for which, params in enumerate((self.model.a, self.model.b)):
-            n = self.touched[which]
-            for r in range(0, len(params), 256):
-                if n[r : r + 256].any():
-                    k = n[r : r + 256]
-                    yield which, r, (params[r : r + 256] - self.before[which][r : r + 256]) * k[:, None], k
+        self.observed, self.expected = (np.zeros_like(model.params) for _ in range(2))
+
+    def add(self, h: np.ndarray, first: np.ndarray, leaf: np.ndarray) -> None:
+        # two float32 are added as one complex number, which halves the additions
+        pairs, half = self.expected.view(np.complex64).reshape(-1), np.arange(WIDTH // 2)
+        for _, rows, outcome, e, total in self.model.batches(h, first, leaf):
+            e /= total[:, None]
+            p = e.view(np.complex64).reshape(-1)
+            for r in rows:
+                np.add.at(pairs, (r[:, None] * (WIDTH // 2) + half).ravel(), p)
+                np.add.at(self.observed.reshape(-1), r * WIDTH + outcome, np.float32(1))
+
+    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(block, observed, expected) of the blocks of rows that were touched."""
+        for k, lo in enumerate(range(0, len(self.expected), _BLOCK)):
+            if self.expected[lo : lo + _BLOCK].any():
+                yield k, self.observed[lo : lo + _BLOCK].tobytes(), self.expected[lo : lo + _BLOCK].tobytes()
+
+
+def step(observed: np.ndarray, expected: np.ndarray, rate: float) -> np.ndarray:
+    """The change of a row: along observed - expected, on a log scale; rarely seen rows move little."""
+    return (rate * np.clip(np.log((observed + DAMPING) / (expected + DAMPING)), -5, 5)).astype(np.float32)
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -210,7 +247,7 @@ def count_words(training: DataFrame, text: str = "text") -> DataFrame:
             h, c = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    return training.select(text).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return training.select(text).mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def known_counts(counted: DataFrame, frequent: int = FREQUENT) -> Counts:
@@ -224,57 +261,61 @@ def known_counts(counted: DataFrame, frequent: int = FREQUENT) -> Counts:
         if held > frequent:
             break
         least = r["c"]
-    top = counted.filter(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    top = counted.filter(F.col("c") >= least).toPandas()
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    n = min(len(h), CLASSES * CLASS_WORDS)
-    places = np.full(len(h), -1, np.int32)
-    places[:n] = np.arange(n)
     order = np.argsort(h)
-    return Counts(h[order], c[order], places[order], int(total), int(distinct), int(c[:n].sum()), n)
+    return Counts(h[order], c[order], least, int(total), int(distinct))
+
 
+def _wide(training: DataFrame) -> DataFrame:
+    """``training`` with ``SPLITS`` splits to a task while there is a task for every core: each task hands in a table of sums."""
+    n = training.rdd.getNumPartitions()
+    cores = max(1, training.sparkSession.sparkContext.defaultParallelism)
+    return training.coalesce(max(1, min(n, math.ceil(max(cores, n / SPLITS) / cores) * cores)))
 
-def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
-    """Parameters learned from all training rows (crc, text); each row takes part in one round."""
+
+def train(training: DataFrame, counts: Counts, steps: tuple[float, ...] = STEPS) -> Model:
+    """Parameters learned from all training rows (text), which every round goes over."""
     sc = training.sparkSession.sparkContext
-    shared_counts = sc.broadcast(counts)
-    params = Model(counts).a, Model(counts).b
-    for k in range(rounds):
-        shared = sc.broadcast(params)
+    model = Model(counts)
+    training = _wide(training.select("text"))
+    kind = "block int, observed binary, expected binary"
+    for rate in steps:
+        shared = sc.broadcast((counts, model.params))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trainer, known = None, shared_counts.value
+            sums = None
             for batch in batches:
                 for lo, hi in pieces(batch, 0):
-                    trainer = trainer or Trainer(Model(known, tuple(x.copy() for x in shared.value)))
+                    sums = sums or Sums(Model(*shared.value))
                     h, first = tokens(batch.column(0), lo, hi)
-                    trainer.learn(features(h, first), known.find(h)[2])
-            for which, row, delta, n in trainer.changes() if trainer else ():
-                yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([row], pa.int32()), pa.array([delta.astype(np.float32).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["which", "row", "delta", "n"])
+                    sums.add(h, first, sums.model.counts.find(h)[2])
+            for block in sums.blocks() if sums else ():
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(block, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "observed", "expected"])
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[tuple[int, int], list[np.ndarray]] = {}
+        def add(batches: Iterator[pa.RecordBatch], rate=rate) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
             for batch in batches:
-                for r in batch.to_pylist():
-                    d, n = np.frombuffer(r["delta"], np.float32).astype(np.float64), np.frombuffer(r["n"], np.float32).astype(np.float64)
-                    key = (r["which"], r["row"])
-                    if key in held:
-                        held[key][0] += d
-                        held[key][1] += n
-                    else:
-                        held[key] = [d, n]
-            for (which, row), (d, n) in held.items():
-                mean = d.reshape(len(n), -1) / np.maximum(n, 1.0)[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([row], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["which", "row", "mean"])
-
-        part = training.filter(F.floor(F.col("crc") / 5) % rounds == k) if rounds > 1 else training
-        summed = part.select("text").mapInArrow(run, "which int, row int, delta binary, n binary").repartition("which", "row").mapInArrow(add, "which int, row int, mean binary")
-        new = [x.copy() for x in params]
+                for k, *sides in zip(*(batch.column(i) for i in range(3)), strict=True):
+                    both = np.stack([np.frombuffer(s.as_buffer(), np.float32) for s in sides]).astype(np.float64)
+                    k = k.as_py()
+                    held[k] = held[k] + both if k in held else both
+            for k, both in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([step(*both, rate).tobytes()], pa.binary())], ["block", "step"])
+
+        summed = training.mapInArrow(lean(run), kind).repartition("block").mapInArrow(lean(add), "block int, step binary")
+        params = model.params.copy()
         for r in summed.collect():
-            d = np.frombuffer(r["mean"], np.float32)
-            width = new[r["which"]].shape[1]
-            new[r["which"]][r["row"] : r["row"] + len(d) // width] += d.reshape(-1, width)
-        params = tuple(new)
-    return Model(counts, params)
+            d = np.frombuffer(r["step"], np.float32).reshape(-1, WIDTH)
+            params[r["block"] * _BLOCK : r["block"] * _BLOCK + len(d)] += d
+        model = Model(counts, params)
+        shared.unpersist()
+    return model
+
+
+def _bins(counted: DataFrame, counts: Counts) -> DataFrame:
+    """(bin, tokens, words, counts) of the rare words' bins; hashes share bins evenly, so a bin holds some 16 words."""
+    return counted.filter(F.col("c") < counts.least).groupBy(F.col("h").bitwiseAND(F.lit(counts.bin_mask)).alias("bin")).agg(F.sum("c").alias("tokens"), F.count("*").alias("words"), F.map_from_entries(F.collect_list(F.struct("h", "c"))).alias("counts"))
 
 
 def score(docs: DataFrame, keep: list[str], counted: DataFrame, counts: Counts, model: Model, text: str = "text") -> DataFrame:
@@ -293,26 +334,23 @@ def score(docs: DataFrame, keep: list[str], counted: DataFrame, counts: Counts,
     rest = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("__score", T.DoubleType()), T.StructField("__rest", rest)])
     kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((counts, model.a, model.b))
-    log_norm, log_rare = math.log10(counts.norm), math.log10(counts.rare_norm)
+    shared = docs.sparkSession.sparkContext.broadcast((counts, model.params))
+    log_norm = math.log10(counts.norm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        known_, a, b = shared.value
-        m = Model(known_, (a, b))
+        m = Model(*shared.value)
         for batch in batches:
             for lo, hi in pieces(batch, k):
                 h, first = tokens(batch.column(k), lo, hi)
                 n = np.diff(first)
                 rows = np.repeat(np.arange(hi - lo), n)
-                frequent, c, place = known_.find(h)
+                frequent, c, leaf = m.counts.find(h)
                 # words whose counts are joined later add their own part there
                 base = np.where(frequent, np.log10(c + 0.5), 0.0) - log_norm
-                own = m.scores(features(h, first), place) / math.log(10)
-                own += np.where(place < 0, np.where(frequent, np.log10(c + 0.5), 0.0) - log_rare, 0.0)
+                own = m.scores(h, first, leaf) / math.log(10)
                 other = np.flatnonzero(~frequent)
                 key = np.lexsort((h[other], rows[other]))
                 ho, ro = h[other][key], rows[other][key]
@@ -323,12 +361,14 @@ def score(docs: DataFrame, keep: list[str], counted: DataFrame, counts: Counts,
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(k)), pa.array(np.arange(row, row + hi - lo)), pa.array(n), pa.array(total(frequent).astype(np.int64)), pa.array(total(base)), pa.array(total(own)), lists], [f.name for f in schema])
                 row += hi - lo
 
-    found = settle(docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text")).mapInArrow(run, schema))
-    each = found.select("__row", F.explode("__rest").alias("x")).select("__row", "x.h", "x.n").join(counted, "h", "left")
-    part = each.groupBy("__row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
+    found = settle(docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text")).mapInArrow(lean(run), schema))
+    each = found.select("__row", F.explode("__rest").alias("x")).select("__row", "x.n", "x.h", F.col("x.h").bitwiseAND(F.lit(counts.bin_mask)).alias("bin")).join(_bins(counted, counts), "bin", "left")
+    seen = F.coalesce(F.element_at("counts", F.col("h")), F.lit(0))
+    share = (seen + 0.5) / (F.coalesce("tokens", F.lit(0)) + 0.5 * (F.coalesce("words", F.lit(0)) + 1))
+    part = each.groupBy("__row").agg(F.sum(F.col("n") * F.log10(seen + 0.5)).alias("base"), F.sum(F.col("n") * F.log10(share)).alias("own"), F.sum(F.when(seen > 0, F.col("n")).otherwise(0)).alias("known"))
     out = found.drop("__rest").join(part, "__row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(*keep, "n_tokens", (F.col("__known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"), (F.col("__base") + more).alias("base_score"), (F.col("__score") + more).alias("score"))
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return out.select(*keep, "n_tokens", plus("__known", "known").cast("long").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"), plus("__base", "base").alias("base_score"), plus("__score", "own").alias("score"))
 
 
 def held_out(doc_id):
