@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
 from tessera.llm.bytegrid import _BYTE, _Powers, mix, signed, text_bytes
-from tessera.llm.common import drop_settled, pieces, settle, table
+from tessera.llm.common import drop_settled, lean, pieces, settle, table
 
 LENGTH, SEED = 50, 25
 #: Bytes handed to numpy at once; what it holds then fits in a core's cache.
 PIECE = 1 << 18
+#: What share of all spots makes a stretch's class a hot one.
+HOT_SHARE = 1000
 #: Stretches of one seed that a task may hold at once.
 SEED_STRETCHES = 20_000
 _LAST = (1 << 63) - 1
@@ -58,8 +60,8 @@ class Stretches:
             return
         self.names = (sums[SEED:] - sums[:-SEED]) * down[: n - SEED + 1]
         self.names *= np.uint64(0xBF58476D1CE4E5B9)
-        bits = np.uint64(max(1, int(n).bit_length()))
-        place = (np.uint64(1) << bits) - np.uint64(1)
+        # 32 bits of the hash and then the place: an order that does not depend on where the texts stand in ``data``
+        place = np.uint64(0xFFFFFFFF)
         low = self.names ^ (self.names >> np.uint64(29))
         low *= np.uint64(0x94D049BB133111EB)
         low &= ~place
@@ -114,7 +116,7 @@ def _seeds(keyed: DataFrame) -> DataFrame:
             ids = batch.column(0).slice(lo, hi - lo).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(signed(s.seed)), pa.array(ids[s.row])], ["seed", "ord"])
 
-    found = keyed.mapInArrow(run, "seed long, ord long").groupBy("seed").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
+    found = keyed.mapInArrow(lean(run), "seed long, ord long").groupBy("seed").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
     return found.filter("a < b").select("seed")
 
 
@@ -140,7 +142,7 @@ def _found(docs: DataFrame, keep: list[str], doc_id: str, text: str, seeds: np.n
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(k + 2)), pa.array(np.diff(offsets)), pa.array(sha, pa.string()), lists], [f.name for f in schema])
 
     source = docs.withColumns({"__ord": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "__text": F.coalesce(F.col(text).cast("string"), F.lit(""))})
-    return source.select(*[F.col(c) for c in keep], "__ord", F.xxhash64("__ord", "__text").alias("__key"), "__text").mapInArrow(run, schema)
+    return source.select(*[F.col(c) for c in keep], "__ord", F.xxhash64("__ord", "__text").alias("__key"), "__text").mapInArrow(lean(run), schema)
 
 
 def _parts(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -183,14 +185,15 @@ def _parts(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], ["seed", "name", "part"])
                 out = [[], [], []]
 
-    part = rows.mapInArrow(run, "seed long, name long, part array<int>")
+    part = rows.mapInArrow(lean(run), "seed long, name long, part array<int>")
     if many.isEmpty():
         return part
     stretches = _windows_of(keyed, key(many)).groupBy("seed", "name", "least").agg(F.first("windows").alias("windows"))
     windows = settle(stretches.join(many.select("seed", "name", "least"), ["seed", "name", "least"]))
     each = windows.select("seed", "name", "least", F.posexplode("windows").alias("j", "w"))
-    lowest = each.groupBy("w").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last").select("w", "first")
-    return part.unionByName(each.join(lowest, "w").filter("least > first").groupBy("seed", "name").agg(F.sort_array(F.collect_set("j")).alias("part")))
+    # windows are equal if their seeds and their own names are: 128 bits, as for whole stretches
+    lowest = each.groupBy("seed", "w").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last").select("seed", "w", "first")
+    return part.unionByName(each.join(lowest, ["seed", "w"]).filter("least > first").groupBy("seed", "name").agg(F.sort_array(F.collect_set("j")).alias("part")))
 
 
 def repeated_spans(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -200,13 +203,18 @@ def repeated_spans(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     found = settle(_found(docs, keep, doc_id, text, bitmap.build(seeds, "seed")))
     drop_settled(seeds)
     spots = found.select("__ord", "__key", F.explode("__found").alias("f")).select("__ord", "__key", "f.*")
-    classes = settle(spots.groupBy("seed", "name").agg(F.min("__ord").alias("least"), F.max("__ord").alias("most")))
+    classes = settle(spots.groupBy("seed", "name").agg(F.min("__ord").alias("least"), F.max("__ord").alias("most"), F.count("*").alias("spots")))
     several = classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1")
     mixed = settle(classes.join(several, "seed").select("seed", "name", "least", "n"))
     part = settle(_parts(keyed, mixed))
     drop_settled(mixed)
-    told = classes.join(part, ["seed", "name"], "left").filter("least < most OR part IS NOT NULL")
-    hit = spots.join(told.select("seed", "name", "least", "part"), ["seed", "name"])
+    # a stretch that has more than one in HOT_SHARE of all spots is told to every task (there are fewer than HOT_SHARE of them); the others meet by a shuffle
+    hot = (classes.agg(F.sum("spots")).first()[0] or 0) / HOT_SHARE
+    told = settle(classes.join(part, ["seed", "name"], "left").filter("least < most OR part IS NOT NULL").select("seed", "name", "least", "part", "spots"))
+    few, many = told.filter(F.col("spots") <= hot).drop("spots"), told.filter(F.col("spots") > hot).drop("spots")
+    common = spots.join(F.broadcast(many), ["seed", "name"])
+    cold = spots.join(F.broadcast(many.select("seed", "name")), ["seed", "name"], "left_anti")
+    hit = cold.join(few, ["seed", "name"]).unionByName(common)
     whole = F.array(F.struct(F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e")))
     some = F.transform("part", lambda j: F.struct((F.col("lo") + j).alias("s"), (F.col("lo") + j + LENGTH).alias("e")))
     hit = hit.select("__ord", "__key", F.explode(F.when(F.col("__ord") > F.col("least"), whole).otherwise(some)).alias("x"))
@@ -226,7 +234,7 @@ def _windows_of(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
             flat = pa.array(signed(np.concatenate([*names, np.zeros(0, np.uint64)])))
             yield pa.RecordBatch.from_arrays([pa.array(signed(s.seed[pick])), pa.array(signed(s.name[pick])), pa.array(ids[pick]), pa.ListArray.from_arrays(pa.array(cut), flat)], ["seed", "name", "least", "windows"])
 
-    return keyed.mapInArrow(run, "seed long, name long, least long, windows array<long>")
+    return keyed.mapInArrow(lean(run), "seed long, name long, least long, windows array<long>")
 
 
 def _merge(spans: list) -> list[tuple[int, int]]:
@@ -269,15 +277,15 @@ def changed_texts(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["__ord", "__key", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     keyed = _keyed(docs, doc_id, text).select(F.col("ord").alias("__ord"), F.xxhash64("ord", "text").alias("__key"), "text")
-    texts = keyed.mapInArrow(pick, "__ord long, __key long, text string").dropDuplicates(["__ord", "__key"])
-    return texts.join(spans, ["__ord", "__key"]).mapInArrow(cut, "__ord long, __key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    texts = keyed.mapInArrow(lean(pick), "__ord long, __key long, text string").dropDuplicates(["__ord", "__key"])
+    return texts.join(spans, ["__ord", "__key"]).mapInArrow(lean(cut), "__ord long, __key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``keep``, n_bytes, n_removed, n_spans, kept_sha256; with_text also kept_text, null where nothing was removed.
 
     Each byte covered by a 50-byte string that also starts in a document with a
-    smaller id is removed; rows of one id do not remove each other's bytes, and
+    smaller id is removed; strings are equal if two 64-bit hashes of them are; rows of one id do not remove each other's bytes, and
     null ids come after all others and count as one id.  Null and empty texts
     have no bytes; shorter texts than 50 bytes lose none.  A cut may fall
     inside a character; kept_text then drops the halves.  Repeated rows get

@@ -5,7 +5,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from conftest_llm import ALNUM, SPACED, lower, sha
 from pyspark.sql import functions as F
@@ -77,7 +79,11 @@ def test_chat_long_conversation_in_pieces(spark, monkeypatch):
     assert results[0] == results[1] and df.count() == 60
 
 
-def test_suffix(spark, corpus):
+@pytest.mark.parametrize(("seed_stretches", "hot_share"), [(suffix.SEED_STRETCHES, suffix.HOT_SHARE), (0, 1 << 40), (1, 1)])
+def test_suffix(spark, corpus, monkeypatch, seed_stretches, hot_share):
+    """In every way a seed's stretches may meet (in a task, spread over tasks) and a class may be told (to all tasks, by a shuffle)."""
+    monkeypatch.setattr(suffix, "SEED_STRETCHES", seed_stretches)
+    monkeypatch.setattr(suffix, "HOT_SHARE", hot_share)
     docs, rows = corpus
     last = 1 << 62
     first = {}
@@ -100,6 +106,24 @@ def test_suffix(spark, corpus):
     assert suffix.remove_repeats(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_suffix_stretches_do_not_depend_on_the_piece():
+    """A text's stretches are the same alone, among others, and behind a very long text."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(40, 400))).encode() for _ in range(30)] + [b"x" * 300, b"ab" * 200, b"", b"z" * 50]
+    data, offsets = lambda parts: np.frombuffer(b"".join(parts), np.uint8), lambda parts: np.cumsum([0, *map(len, parts)])
+    long = bytes(rng.randrange(256) for _ in range(70_000))
+
+    def of(s, row, base):
+        at = s.row == row
+        return list(zip((s.lo[at] - base).tolist(), (s.hi[at] - base).tolist(), s.seed[at].tolist(), s.name[at].tolist(), strict=True))
+
+    together, behind = [suffix.Stretches(data(x), offsets(x)) for x in (texts, [long, *texts])]
+    for i, t in enumerate(texts):
+        alone = of(suffix.Stretches(data([t]), offsets([t])), 0, 0)
+        assert alone == of(together, i, offsets(texts)[i]) == of(behind, i + 1, offsets([long, *texts])[i + 1])
+        assert sum(hi - lo + 1 for lo, hi, _, _ in alone) == max(0, len(t) - 49)
+
+
 def test_licenses(spark, corpus):
     docs, rows = corpus
     want = []
