@@ -1,11 +1,11 @@
 """Main-text extraction by maximum-scoring subsequence.
 
-A page becomes blocks of text with the tags between them.  Each word of a block
-scores positive or, in a context that labelled pages show outside their
-article, negative; each tag costs a little.  One linear scan finds the
-contiguous run of blocks with the largest sum.  Blocks of that run that are
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments
-by their own or an enclosing element are left out.
+A page is one sequence of words and tags.  Words score positive or, among
+elements that labelled pages show outside their article, negative; every tag
+scores negative, the more the rarer it is inside articles.  One linear scan
+finds the contiguous region with the largest sum.  Parts of the region that are
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments by
+their own or an enclosing element are left out.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import lean, table
 
 #: Pages the weights are fitted on, at most: those with one article element, first in hash order.
 SAMPLE_PAGES = 1000
-#: Score of a tag, and the most a word's context adds or takes.
-TAG_COST, CLIP = 0.15, 4.0
+#: What a tag costs at least and at most, the most a word scores either way, and what a word costs that is left out anyway.
+TAG_COST, MOST_TAG_COST, CLIP, LEFT_OUT_COST = 0.15, 1.5, 4.0, 0.25
 #: Contexts seen in fewer sampled pages keep the fixed weights.
 MIN_PAGES = 3
 
@@ -44,7 +44,11 @@ HINTS = frozenset(
     "sidebar side rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs footer header masthead share sharing social related recommended recommendations popular trending newsletter subscribe "
     "subscription signup login popup modal overlay pagination pager toolbar skip search searchbox copyright legal disclaimer complementary contentinfo tags".split()
 )
-CONTENT_HINTS = frozenset("article content main post story entry body text".split())
+#: Those that an article element may be told by, too.
+ARTICLE_HINTS = frozenset("ad ads advert adverts advertisement advertising sponsored promo comment comments respond related recommended recommendations".split())
+#: Names beside which "header" is an article's own.
+OF_ARTICLE = frozenset("article entry post story".split())
+CONTENT, HEADINGS, WHOLE = frozenset(["article", "main"]), frozenset(["h1", "h2", "h3"]), frozenset(["html", "body"])
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>?",
@@ -53,10 +57,11 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _NAME = re.compile(r"[a-z]+")
+_BESIDE = re.compile(r"\b(?:has|with|without|no)[-_]+[a-z]+")
 
 
 class Element:
-    __slots__ = ("hinted", "keys", "out", "tag")
+    __slots__ = ("keys", "out", "tag")
 
     def __init__(self, tag: str, attrs: str, inside: bool):
         self.tag = tag
@@ -66,38 +71,120 @@ class Element:
             for m in _ATTR.finditer(attrs):
                 if m[1].lower() in ("class", "id", "role"):
                     value = (m[2] or m[3] or m[4] or "").lower()
-                    self.keys += [f"{tag}.{v}" for v in value.split()[:4]]
-                    names.update(_NAME.findall(value))
-        self.hinted = bool(names & HINTS) and tag not in ("html", "body", "article", "main") and not names & {"article", "main", "body", "entry", "story"}
-        self.out = tag in LEFT_OUT or self.hinted or (tag in HEADER and not inside) or bool(attrs and _HIDDEN.search(attrs))
-
-
-class Block:
-    __slots__ = ("heading", "inside", "keys", "out", "tags", "text")
-
-    def __init__(self, text: str, keys: frozenset[str], out: bool, inside: bool, tags: int):
-        self.text, self.keys, self.out, self.inside, self.tags = text, keys, out, inside, tags
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, each with its context and the number of tags before it."""
-    out: list[Block] = []
-    stack: list[Element] = []
+                    self.keys += [f"{tag}.{v}" for v in value.split()]
+                    names.update(_NAME.findall(_BESIDE.sub(" ", value)))
+        hints = names & (ARTICLE_HINTS if tag in CONTENT else HINTS)
+        if hints == {"header"} and (inside or names & OF_ARTICLE):
+            hints = frozenset()
+        self.out = tag in LEFT_OUT or bool(hints and tag not in WHOLE) or (tag in HEADER and not inside) or bool(attrs and _HIDDEN.search(attrs))
+
+
+class Open:
+    """The open elements, and what follows from them, kept up to date at every tag."""
+
+    def __init__(self, weights: dict[str, float], learn: bool = False):
+        self.weights = weights
+        self.stack: list[Element] = []
+        #: places in the stack of elements that are not inline
+        self.solid: list[int] = []
+        self.tags: Counter[str] = Counter()
+        self.keys: Counter[str] = Counter()
+        self.score = 1.0
+        self.inside = self.lost = self.lost_headers = self.headings = 0
+        #: words so far in and outside content, the same when each key began, and of all the time it was open
+        self.words = [0, 0]
+        self.since: dict[str, tuple[int, int]] | None = {} if learn else None
+        self.of_key: dict[str, list[int]] = {}
+
+    @property
+    def left_out(self) -> bool:
+        """Whether text here is left out; a header inside content is not where it holds a heading."""
+        return self.lost > (self.lost_headers if self.inside and self.headings else 0)
+
+    def push(self, e: Element) -> None:
+        if e.tag not in INLINE:
+            self.solid.append(len(self.stack))
+        self.stack.append(e)
+        self._count(e, 1)
+        for k in e.keys:
+            self.keys[k] += 1
+            if self.keys[k] == 1:
+                self.score += self.weights.get(k, 0.0)
+                if self.since is not None:
+                    self.since[k] = tuple(self.words)
+
+    def _count(self, e: Element, n: int) -> None:
+        self.tags[e.tag] += n
+        self.inside += n * (e.tag in CONTENT)
+        self.lost += n * e.out
+        self.lost_headers += n * (e.out and e.tag in HEADER)
+        self.headings += n * (e.tag in HEADINGS)
+
+    def cut(self, size: int) -> None:
+        """Close all elements from place ``size`` of the stack on."""
+        while len(self.stack) > size:
+            e = self.stack.pop()
+            if self.solid and self.solid[-1] == len(self.stack):
+                self.solid.pop()
+            self._count(e, -1)
+            for k in e.keys:
+                self.keys[k] -= 1
+                if not self.keys[k]:
+                    self.score -= self.weights.get(k, 0.0)
+                    if self.since is not None:
+                        begun, held = self.since.pop(k), self.of_key.setdefault(k, [0, 0])
+                        held[0] += self.words[0] - begun[0]
+                        held[1] += self.words[1] - begun[1]
+
+    def close(self, tag: str) -> Element | None:
+        """Close the last open ``tag`` and all inside it; None if there is none."""
+        if not self.tags[tag]:
+            return None
+        i = len(self.stack) - 1
+        while self.stack[i].tag != tag:
+            i -= 1
+        e = self.stack[i]
+        self.cut(i)
+        return e
+
+    def end_of(self, kinds: set[str]) -> None:
+        """Close elements of ``kinds`` that stand innermost but for inline ones."""
+        while self.solid and self.stack[self.solid[-1]].tag in kinds:
+            self.cut(self.solid[-1])
+
+
+class Item:
+    """A run of tags (text is empty) or a block of words, with its score."""
+
+    __slots__ = ("left_out", "score", "text", "words")
+
+    def __init__(self, text: str, words: int, score: float, left_out: bool):
+        self.text, self.words, self.score, self.left_out = text, words, score, left_out
+
+
+def tag_score(tag: str, weights: dict[str, float]) -> float:
+    return weights.get(f"<{tag}", -TAG_COST)
+
+
+def read(page: str, weights: dict[str, float], learn: bool = False) -> tuple[list[Item], Open, dict[str, list[int]]]:
+    """(items, elements, tags) of a page: its words and tags in order, and with ``learn`` what was met in and outside content."""
+    now = Open(weights, learn)
+    out: list[Item] = []
     parts: list[str] = []
-    tags = 0
+    tags: dict[str, list[int]] = {}
+    cost = 0.0
 
     def end() -> None:
-        nonlocal tags
+        nonlocal cost
         text = " ".join(html_lib.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            keys = frozenset(k for e in stack for k in e.keys)
-            inside = any(e.tag in ("article", "main") for e in stack)
-            lost = any(e.out for e in stack)
-            if lost and inside and any(e.tag in ("h1", "h2", "h3") for e in stack):
-                lost = any(e.out and e.tag not in HEADER for e in stack)
-            out.append(Block(text, keys, lost, inside, tags))
-            tags = 0
+            left_out, words = now.left_out, text.count(" ") + 1
+            now.words[not now.inside or left_out] += words
+            if cost:
+                out.append(Item("", 0, cost, True))
+                cost = 0.0
+            out.append(Item(text, words, words * (-LEFT_OUT_COST if left_out else max(-CLIP, min(CLIP, now.score))), left_out))
 
     at, n = 0, len(page)
     while at < n:
@@ -117,50 +204,37 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
-        tags += 1
+        if tag not in INLINE and tag != "br":
+            end()
+        cost += tag_score(tag, weights)
+        if learn:
+            tags.setdefault(tag, [0, 0])[not now.inside or now.left_out] += 1
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
-            end()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    if tag in INLINE and stack[i].out:
-                        end()
-                    del stack[i:]
-                    break
+            if tag in INLINE and now.tags[tag] and now.lost:
+                end()
+            now.close(tag)
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else n
             continue
         if tag in CLOSES or tag in ENDS_P:
-            gone = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in gone:
-                    del stack[i:]
-                elif stack[i].tag not in INLINE:
-                    break
+            now.end_of(CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set()))
         if tag not in VOID and not attrs.rstrip().endswith("/"):
-            e = Element(tag, attrs, any(x.tag in ("article", "main") for x in stack))
+            e = Element(tag, attrs, now.inside > 0)
             if e.out and tag in INLINE:
                 end()
-            stack.append(e)
+            now.push(e)
     end()
-    return out
+    now.cut(0)
+    return out, now, tags
 
 
 #: Context weights before any page is seen (fixed values).
-FIXED = {"article": 2.0, "main": 1.5, "p": 0.5, "h1": 0.5, "a": -1.5, **{t: -3.0 for t in ("nav", "footer", "aside", "form", "header")}}
-
-
-def word_score(block: Block, weights: dict[str, float]) -> float:
-    """What one word of ``block`` scores: positive in content, negative in what is left out."""
-    if block.out:
-        return -1.0
-    total = 1.0 + sum(weights.get(k, 0.0) for k in block.keys)
-    return max(-CLIP, min(CLIP, total))
+FIXED = {"article": 2.0, "main": 1.5, "p": 0.5, "h1": 0.5, "a": -1.5, "nav": -3.0, "footer": -3.0, "aside": -3.0, "form": -3.0}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -176,18 +250,19 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
-    found = blocks(page)
-    scores = [len(b.text.split()) * word_score(b, weights) - TAG_COST * min(b.tags, 3) for b in found]
-    start, end = best_run(scores)
-    return " ".join(b.text for b in found[start:end] if not b.out)
+    items = read(page, weights)[0]
+    start, end = best_run([x.score for x in items])
+    return " ".join(x.text for x in items[start:end] if x.text and not x.left_out)
 
 
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Context weights from pages with exactly one article element: log odds of a word standing in it.
+    """Weights of elements and tags from pages with exactly one article element.
 
-    Blocks that are left out anyway tell nothing about the rest and do not
-    count.  The sample is bounded, a documented parameter; it is the first pages in
-    hash order.  Without labelled pages the fixed weights remain.
+    An element's (its tag, and its tag with each class, id or role) is the log odds
+    of a word under it being content: inside the article and not left out; a
+    tag's is a cost that grows with its odds of standing elsewhere.  The sample
+    is bounded, a documented parameter; it is the first pages in hash order.
+    Without labelled pages the fixed weights remain.
     """
     marked = pages.select(F.col(html).cast("string").alias("html")).filter(F.regexp_count("html", F.lit("(?i)<article[\\s>]")) == 1)
     # only hashes are ordered; the pages themselves stay where they are
@@ -196,23 +271,24 @@ def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES) -> dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys: Counter[tuple[str, bool]] = Counter()
-            seen: Counter[str] = Counter()
-            for i in range(batch.num_rows):
-                found = [b for b in blocks(batch.column(0)[i].as_py()) if not b.out]
-                for b in found:
-                    for k in b.keys:
-                        keys[k, b.inside] += len(b.text.split())
-                seen.update({k for b in found for k in b.keys})
-            rows = [(k, keys[k, True], keys[k, False], c) for k, c in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["key", "a", "b", "pages"])
-
-    counts = marked.mapInArrow(run, "key string, a long, b long, pages long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pages").alias("pages"))
+            met: dict[str, list[int]] = {}
+            for page in batch.column(0):
+                _, now, tags = read(page.as_py(), FIXED, learn=True)
+                for k, (a, b) in [*now.of_key.items(), *((f"<{t}", n) for t, n in tags.items())]:
+                    one = met.setdefault(k, [0, 0, 0])
+                    one[0] += a
+                    one[1] += b
+                    one[2] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), *(pa.array([v[i] for v in met.values()], pa.int64()) for i in range(3))], ["key", "a", "b", "pages"])
+
+    counts = marked.mapInArrow(lean(run), "key string, a long, b long, pages long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pages").alias("pages"))
     weights = dict(FIXED)
-    everywhere = {"html", "body"}
-    for r in counts.filter(F.col("pages") >= MIN_PAGES).orderBy(F.desc("pages"), "key").limit(2000).collect():
-        if r.key not in everywhere and r.key not in FIXED:
-            weights[r.key] = max(-2.0, min(2.0, 0.5 * math.log((r.a + 5) / (r.b + 5))))
+    for r in counts.filter(F.col("pages") >= MIN_PAGES).collect():
+        odds = 0.5 * math.log((r.a + 5) / (r.b + 5))
+        if r.key.startswith("<"):
+            weights[r.key] = -max(TAG_COST, min(MOST_TAG_COST, TAG_COST - odds))
+        elif r.key not in WHOLE:
+            weights[r.key] = max(-2.0, min(2.0, odds))
     return weights
 
 
@@ -238,7 +314,7 @@ def extract(pages: DataFrame, keep: list[str], weights: dict[str, float] | None
                 texts = [main_text(p or "", weights) for p in part.column(k).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [f.name for f in schema])
 
-    return pages.select(*[pages[c] for c in keep], pages[html].cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*[pages[c] for c in keep], pages[html].cast("string").alias("__html")).mapInArrow(lean(run), schema)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

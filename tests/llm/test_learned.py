@@ -1,47 +1,19 @@
-"""Operators that learn, the page and image operators, and the pipeline."""
+"""Operators that learn, the page operator, and the pipeline."""
 
 import html as html_lib
 import math
 import random
 import re
-import struct
-import zlib
-from collections import Counter
+import time
 
 import corpus_pipeline
-import numpy as np
 from conftest_llm import SPACED, lower
 
-from tessera.llm import html, images, lm, toxicity
+from tessera.llm import html, toxicity
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_lm_base_is_exact_and_model_is_a_distribution(spark, corpus):
-    docs, rows = corpus
-    training = lm._prepared(docs.filter(~lm.held_out(docs["doc_id"])), "doc_id", "text")
-    counted = lm.count_words(training)
-    counts = lm.known_counts(counted, frequent=50)
-    model = lm.train(training, counts)
-    got = lm.score(docs, ["doc_id", "text"], counted, counts, model).collect()
-    tokens = lambda t: [*re.findall(SPACED, lower(t)), None]
-    c = Counter(x for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1 for x in tokens(t))
-    n, v = sum(c.values()), len(c)
-    for r in got:
-        w = tokens(r.text)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9, abs_tol=1e-9)
-        assert r.score < 0 and math.isfinite(r.score)
-    f = lm.features(np.array([5, 6, 7], np.uint64), np.array([0, 3]))
-    assert np.allclose(np.exp(lm.Model.log_softmax(model.a, model.class_rows(f))).sum(1), 1, atol=1e-4)
-    assert lm.score(docs.limit(0), ["doc_id"], counted, counts, model).count() == 0
-
-
-def test_lm_beats_the_base_on_held_out_rows(spark):
-    got = lm.op2_lm(spark, SF).filter("held_out").selectExpr("sum(score) AS a", "sum(base_score) AS b").first()
-    assert got.a > got.b
-
-
 def test_toxicity_restores_and_generalises(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
@@ -109,6 +81,47 @@ def test_html_odd_pages(spark):
     assert html.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_html_parts_by_name_and_pages_without_articles(spark):
+    """Menus, comments and related links go whatever their name says besides; contexts learned from articles serve pages without one."""
+    words = lambda x, n: " ".join([x] * n)
+    page = f"""<body class="has-sidebar"><div class="main-menu"><p>{words("menu", 40)}</p></div><div class="main-content with-sidebar a b c d e"><div class="article-header"><h1>Title here</h1></div><p>{words("real", 60)}</p>
+      <div class="story-related">{words("related", 18)}</div><p>{words("more", 60)}</p></div><div class="article-comments"><p>{words("comment", 60)}</p></div><article class="comment"><p>{words("another", 60)}</p></article></body>"""
+    want = " ".join(["Title here", words("real", 60), words("more", 60)])
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    learned = html.fit(pages)
+    assert learned["ul"] < 0 < learned["p"] and learned["<p"] > learned["<ul"]
+    assert html.main_text(page, html.FIXED) == html.main_text(page, learned) == want
+    for r in pages.collect():
+        bare = re.sub(r"<(/?)article>", r"<\1div>", r.html)
+        assert html.main_text(bare, learned) == html.main_text(r.html, learned)
+
+
+def test_html_state_follows_the_open_elements():
+    """The kept-up sums equal those of the elements that are open, at every push and cut."""
+    rng = random.Random(3)
+    tags = ["div", "p", "b", "article", "header", "h1", "nav", "span"]
+    weights = {"div": -0.5, "p": 1.25, "b": 0.25, "nav": -2.0, "div.ad": -1.0}
+    now = html.Open(weights, learn=True)
+    for _ in range(3000):
+        if now.stack and rng.random() < 0.48:
+            rng.choice([lambda: now.cut(len(now.stack) - 1), lambda: now.close(rng.choice(tags)), lambda: now.end_of({"p", "div"})])()
+        else:
+            now.push(html.Element(rng.choice(tags), rng.choice(["", ' class="ad"']), now.inside > 0))
+        keys = {k for e in now.stack for k in e.keys}
+        assert math.isclose(now.score, 1 + sum(weights.get(k, 0) for k in keys), abs_tol=1e-9)
+        inside, heading = any(e.tag in html.CONTENT for e in now.stack), any(e.tag in html.HEADINGS for e in now.stack)
+        assert now.left_out == any(e.out and not (inside and heading and e.tag in html.HEADER) for e in now.stack)
+        assert now.solid == [i for i, e in enumerate(now.stack) if e.tag not in html.INLINE]
+
+
+def test_html_long_and_unclosed_pages():
+    """Work grows with the page, not with its square."""
+    for page in ("<div>x" * 100_000, "<div>x</span>" * 50_000, "<b>" * 50_000 + "<p>y" * 50_000, "<p>" + "<b>x" * 50_000 + "<li>z" * 50_000):
+        began = time.process_time()
+        assert html.main_text(page, html.FIXED) is not None
+        assert time.process_time() - began < 20
+
+
 def test_best_run_against_brute_force():
     rng = random.Random(8)
     for _ in range(200):
@@ -117,71 +130,6 @@ def test_best_run_against_brute_force():
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1))])
 
 
-def test_images(spark):
-    got = images.op7_images(spark, SF).collect()
-    assert {(r.query_id, r.image_id) for r in got} == {(r.query_id, r.query_id) for r in got} and len(got) >= 4
-    png = images.decode(b"\x89PNG\r\n\x1a\n broken")
-    assert png is None and images.decode(None) is None and images.decode(b"") is None and images.decode(b"P5 2 2 255 ") is None
-    im = np.arange(12.0).reshape(3, 4)
-    assert np.array_equal(images.decode(images.encode_pgm(im)), im)
-    odd = spark.createDataFrame([(1, None), (2, b""), (None, images.encode_pgm(im))], "id long, image binary")
-    assert images.copies(odd, odd).count() == 0
-
-
-def png(rows, w, h, depth, color, palette=b"", interlaced=0):
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"\0" * 4
-    head = struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, interlaced)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
-
-
-def test_images_every_near_descriptor_is_a_candidate(spark):
-    """Recall of descriptor pairs against brute force is 1 up to the greatest distance, even with the changed bits spread evenly."""
-    r = np.random.Generator(np.random.PCG64(5))
-    base = r.integers(0, 2, (60, images.BITS)).astype(np.uint8)
-    other = base.copy()
-    for i, row in enumerate(other):
-        n = (15, 16, 30, 35, 39, 40, 41, 44)[i % 8]
-        row[np.arange(n) * images.BITS // n if i % 3 == 0 else r.choice(images.BITS, n, replace=False)] ^= 1
-    packed = lambda a: [x.tolist() for x in np.packbits(a, axis=1).view(np.int64)]
-    frame = lambda a: spark.createDataFrame([(x,) for x in packed(a)], "bits array<long>")
-    got = {(tuple(x.qb), tuple(x.xb)) for x in images.near_bits(frame(base), frame(other)).collect()}
-    q, x = packed(base), packed(other)
-    assert got == {(tuple(q[i]), tuple(x[j])) for i in range(60) for j in range(60) if (base[i] != other[j]).sum() <= images.MAX_DISTANCE} and len(got) >= 44
-
-
-def test_images_near_vectors_give_near_pictures(spark):
-    e = np.random.Generator(np.random.PCG64(6)).normal(0, 1, 64)
-    rows = [(1, e.tolist()), (2, (e + 1e-4).tolist())]
-    a, b = (images.decode(x.image) for x in images.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("id").collect())
-    assert np.abs(a - b).mean() < 2
-
-
-def test_images_png_kinds():
-    im = (np.arange(35).reshape(5, 7) * 7 % 256).astype(np.uint8)
-    passes = [im[y0::dy, x0::dx] for x0, y0, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))]
-    kinds = [
-        png([r.tobytes() for r in im], 7, 5, 8, 3, bytes(v for g in range(256) for v in (g, g, g))),
-        png([(r.astype(">u2") * 257).tobytes() for r in im], 7, 5, 16, 0),
-        png([np.stack([r, r // 2], 1).tobytes() for r in im], 7, 5, 8, 4),
-        png([r.tobytes() for p in passes if p.size for r in p], 7, 5, 8, 0, interlaced=1),
-    ]
-    assert all(np.allclose(images.decode(x), im, atol=1e-2) for x in kinds)
-    assert np.array_equal(images.decode(png([b"\xa0", b"\x40"], 3, 2, 1, 0)), [[255, 0, 255], [0, 255, 0]])
-
-
-def test_images_small_crop_of_a_large_image_and_no_corners(spark):
-    """A weak part of a large picture is found by its own corners; images without corners by their pixels."""
-    r = np.random.Generator(np.random.PCG64(3))
-    large = 128 + images.resize(r.normal(0, 45, (120, 120)), 480, 480)
-    weak = (slice(200, 290), slice(180, 270))
-    large[weak] = 128 + (large[weak] - 128) * 0.35
-    flat, tiny = np.full((50, 50), 9.0), r.integers(0, 255, (12, 1))
-    rows = [(1, large), (2, 128 + images.resize(r.normal(0, 45, (120, 120)), 480, 480)), (3, flat), (4, flat + 1), (5, tiny), (6, tiny), (7, flat[:, :49])]
-    table = spark.createDataFrame([(i, images.encode_pgm(x)) for i, x in rows], "id long, image binary")
-    queries = spark.createDataFrame([(-1, images.encode_pgm(large[weak])), (-3, images.encode_pgm(flat)), (5, images.encode_pgm(tiny))], "id long, image binary")
-    assert {(x.query_id, x.image_id) for x in images.copies(queries, table).collect()} == {(-1, 1), (-3, 3), (5, 6)}
-
-
 def test_pipeline_stages(spark):
     """Each stage's decisions on its own input, against the plain definitions."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
