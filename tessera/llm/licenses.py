@@ -1,10 +1,10 @@
 """License scans with ordered signature rules, in DataFrame functions alone.
 
 A text with no license keyword is done after one look.  Any other becomes a
-line of lower-cased words.  Rules are grown from license families (name
-pattern, keyword) and statement forms (pattern, priority, relevance), several
-hundred in all; a rule runs only if its keyword, which all its matches contain,
-stands in the text.
+line of lower-cased words.  Rules are sentences of license texts and notices,
+written one by one, and license families (name pattern, keyword) in statement
+forms (pattern, priority, relevance), several hundred in all; a rule runs only if
+its keyword, which all its matches contain, stands in the text.
 All matches go in one sweep, in order of start: a match inside another of the
 same or a higher priority is suppressed.  The labels left over join the labels
 of the base phrases.
@@ -99,15 +99,100 @@ FORMS = (
     (r"{name}(?: agreement| text| file| notice| terms)", 2, 0.8),
     (r"{name}", 1, 0.7),
 )
-#: (label, keyword, pattern, priority, relevance) of statements that name no license family.
+#: (label, keyword, pattern, priority, relevance) of sentences of license texts and notices, over lower-cased words.
 SINGLE = (
     ("proprietary", "rights reserved", r"all rights reserved", 0, 0.3),
+    ("proprietary", "proprietary and confidential", r"proprietary and confidential", 1, 0.6),
+    ("proprietary", "trade secret", r"(?:contains|constitutes?) (?:the )?(?:confidential|proprietary)(?: [^ ]+){0,6} trade secrets?(?: rights)?", 1, 0.6),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this (?:file|software|program)(?: via any medium)? is (?:strictly )?prohibited", 2, 0.8),
+    ("proprietary", "end user licen", rf"end user {_L} agreement", 1, 0.6),
+    ("proprietary", "reverse engineer", r"(?:you )?(?:may|shall) not (?:copy modify )?reverse engineer(?: decompile)?(?: or disassemble)?(?: the)? software", 1, 0.6),
+    ("proprietary", "internal use", rf"(?:for )?internal use only(?: under)?(?: this)?(?: {_L})?", 0, 0.3),
     ("public-domain", "public domain", r"(?:in|into|to) the public domain", 1, 0.7),
+    ("public-domain", "no copyright", r"no copyright is claimed", 1, 0.6),
+    ("public-domain", "disclaims copyright", r"the author disclaims copyright to this source code", 2, 0.8),
     ("copyleft", "copyleft", r"copyleft", 0, 0.3),
+    ("free-unknown", "free software", r"(?:is|are) free software", 0, 0.3),
+    ("free-unknown", "open source licen", rf"(?:an |any |the )?(?:osi approved )?open source {_L}", 0, 0.3),
+    ("free-unknown", "freely", r"may be (?:used|copied|redistributed)(?: and| or| modified| copied| distributed| redistributed){0,4} freely", 0, 0.4),
+    ("warranty-disclaimer", "warrant", r"without (?:any )?warranty of any kind(?: express or implied)?", 0, 0.3),
+    ("warranty-disclaimer", "merchantability", r"implied warrant(?:y|ies) of merchantability (?:or|and) fitness for a particular purpose(?: are disclaimed)?", 0, 0.3),
+    ("warranty-disclaimer", "be liable", r"in no event (?:shall|will) (?:the )?(?:author|authors|copyright holder|copyright holders|regents|contributors)(?: or(?: [^ ]+){1,4})? be liable", 0, 0.3),
     ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 3, 0.95),
+    ("mit", "deal in the software", r"to deal in the software without restriction(?: including without limitation)?(?: the rights)?", 2, 0.85),
+    ("mit", "substantial portions", r"this permission notice shall be included in all copies or substantial portions of the software", 2, 0.85),
+    ("mit", "sublicense", r"(?:use copy modify merge publish distribute|publish distribute) sublicense and or sell copies of the software", 2, 0.85),
+    ("mit-0", "mit no attribution", r"mit no attribution", 2, 0.85),
+    ("x11", "x consortium", r"except as contained in this notice the names? of (?:the )?x consortium shall not be used in advertising", 3, 0.95),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 3, 0.9),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 2, 0.85),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice", 2, 0.85),
+    ("bsd-3-clause", "neither the name", r"neither the names? of(?: [^ ]+){1,12} may be used to endorse or promote products derived from this software", 3, 0.95),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 3, 0.95),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 3, 0.9),
+    ("isc", "above copyright notice", r"provided that the above copyright notice and this permission notice appear in all copies", 2, 0.8),
+    ("0bsd", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 4, 0.95),
+    ("apache-2.0", "except in compliance", rf"you may not use this file except in compliance with the {_L}", 2, 0.85),
+    ("apache-2.0", "apache org licenses", r"apache org licenses license 2 0", 3, 0.95),
+    ("apache-2.0", "unless required by applicable", rf"unless required by applicable law or agreed to in writing software distributed under the {_L}", 2, 0.85),
+    ("apache-2.0", "asf under one", rf"licensed to the apache software foundation asf under one or more contributor {_L} agreements", 3, 0.95),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation", 2, 0.8),
+    ("gpl", "free software you can", r"free software you can redistribute it and or modify it under the terms of the gnu general public license", 3, 0.95),
+    ("gpl-2.0-or-later", "or at your option", r"either version 2 of the license or at your option any later version", 2, 0.9),
+    ("gpl-3.0-or-later", "or at your option", r"either version 3 of the license or at your option any later version", 2, 0.9),
+    ("gpl", "copy of the gnu general", r"you should have received a copy of the gnu general public license", 2, 0.85),
+    ("gpl", "free software foundation", r"published by the free software foundation", 1, 0.6),
+    ("gpl", "51 franklin", r"free software foundation inc 51 franklin (?:st|street) fifth floor boston", 1, 0.6),
+    ("gpl", "59 temple place", r"free software foundation inc 59 temple place", 1, 0.6),
+    ("gpl", "for most software", rf"the {_L}s? for most software (?:and other practical works )?are designed to take away your freedom", 2, 0.9),
+    ("gpl", "take away your freedom", r"designed to take away your freedom to share and change", 2, 0.85),
+    ("lgpl", "copy of the gnu lesser", r"you should have received a copy of the gnu lesser general public license", 3, 0.95),
+    ("lgpl", "copy of the gnu library", r"you should have received a copy of the gnu library general public license", 3, 0.95),
+    ("lgpl-2.1-or-later", "version 2 1 of the", r"either version 2 1 of the license or at your option any later version", 3, 0.95),
+    ("agpl", "copy of the gnu affero", r"you should have received a copy of the gnu affero general public license", 3, 0.95),
+    ("agpl", "remotely through a computer", r"all users interacting with it remotely through a computer network(?: [^ ]+){0,16} corresponding source", 2, 0.85),
+    ("gfdl", "invariant sections", r"with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts", 3, 0.95),
+    ("classpath-exception", "classpath exception", r"(?:with the )?classpath exception", 2, 0.8),
+    ("classpath-exception", "linking this library", r"linking this library statically or dynamically with other modules is making a combined work", 3, 0.95),
+    ("gcc-exception", "runtime library exception", r"gcc runtime library exception", 2, 0.85),
+    ("linking-exception", "special exception", r"as a special exception(?: [^ ]+){0,14} (?:permission to|you may) link", 2, 0.8),
+    ("mpl-2.0", "source code form is subject", r"this source code form is subject to the terms of the mozilla public license", 3, 0.95),
+    ("mpl", "copy of the mpl", r"if a copy of the mpl was not distributed with this file", 2, 0.85),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are (?:subject to|used under) the mozilla public license version 1 1", 4, 0.95),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 3, 0.95),
+    ("cddl", "contents of this file", r"the contents of this file are subject to the terms of (?:either )?(?:of )?(?:the )?common development and distribution license", 3, 0.95),
+    ("cpl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the common public license", 3, 0.95),
+    ("boost-1.0", "boost org license", r"boost org license 1 0 txt", 3, 0.95),
+    ("boost-1.0", "machine executable object", r"machine executable object code generated by a source language processor", 2, 0.85),
+    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented", 2, 0.85),
+    ("zlib", "plainly marked", r"altered source versions must be plainly marked as such", 2, 0.85),
+    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 3, 0.95),
+    ("wtfpl", "you just do what", r"you just do what the fuck you want to", 2, 0.85),
+    ("cc0-1.0", "publicdomain zero", r"creativecommons org publicdomain zero 1 0", 3, 0.95),
+    ("cc-by-4.0", "licenses by 4", r"creativecommons org licenses by 4 0", 3, 0.95),
+    ("cc-by-3.0", "licenses by 3", r"creativecommons org licenses by 3 0", 3, 0.95),
+    ("cc-by-sa-4.0", "licenses by sa 4", r"creativecommons org licenses by sa 4 0", 3, 0.95),
+    ("cc-by-sa-3.0", "licenses by sa 3", r"creativecommons org licenses by sa 3 0", 3, 0.95),
+    ("cc-by-nc", "licenses by nc", r"creativecommons org licenses by nc(?: sa| nd)? (?:1|2|3|4) 0", 3, 0.95),
+    ("cc-by-nd", "licenses by nd", r"creativecommons org licenses by nd (?:1|2|3|4) 0", 3, 0.95),
+    ("artistic", "conditions under which", r"the intent of this document is to state the conditions under which a package may be copied", 2, 0.85),
+    ("perl", "same terms as perl", r"(?:under the )?same terms as perl itself", 2, 0.85),
+    ("python", "python software foundation", rf"this {_L} agreement is between the python software foundation", 3, 0.95),
+    ("openssl", "openssl toolkit", r"developed by the openssl project for use in the openssl toolkit", 2, 0.85),
+    ("curl", "curl licen", rf"curl {_L}", 2, 0.8),
+    ("libpng", "libpng licen", rf"libpng {_L}", 2, 0.8),
+    ("ijg", "independent jpeg group", r"this software is based in part on the work of the independent jpeg group", 2, 0.85),
+    ("unicode", "unicode data files", r"obtaining a copy of the unicode data files", 2, 0.85),
+    ("ofl-1.1", "scripts sil org ofl", r"scripts sil org ofl", 2, 0.85),
+    ("ofl-1.1", "reserved font name", r"with reserved font name", 1, 0.7),
+    ("beerware", "beer in return", r"you can buy me a beer in return", 2, 0.85),
+    ("json", "good not evil", r"the software shall be used for good not evil", 2, 0.9),
+    ("commons-clause", "commons clause", rf"commons clause {_L} condition", 2, 0.85),
+    ("polyform", "polyform", rf"polyform (?:noncommercial|small business|strict|shield) {_L}", 2, 0.85),
     ("unknown-license", "licensed under", rf"licensed under (?:the )?(?:terms of (?:the )?)?[^ ]+ {_L}", 0, 0.4),
+    ("unknown-license", "see the licen", rf"see the {_L}(?: file)? for (?:the specific language|details|more information)", 0, 0.4),
+    ("unknown-license", "file for licen", rf"see (?:the )?(?:copying|notice) file for {_L} (?:details|terms|information)", 0, 0.4),
+    ("unknown-license", "dual licensed", r"dual licensed under", 0, 0.4),
 )
 PRIORITIES = 5
 
@@ -124,7 +209,7 @@ def rules() -> list[dict]:
 
 
 #: A text none of whose places match this holds no keyword and no base phrase.
-GATE = r"(?i)licen[cs]e|spdx|gpl|bsd|creative|cc0|wtfpl|public|rights|copyleft|redistribution|permission"
+GATE = r"(?i)licen[cs]e|spdx|gpl|bsd|creative|cc0|wtfpl|public|rights|copy|distribut|permission|warrant|liable|software|trade secret|confidential|perl|mpl|machine executable|altered source|jpeg group|font|internal use|a beer|what the fuck|classpath|linking|invariant sections|runtime library|computer network|your freedom|no attribution|consortium|copied|freely|good not evil|unicode data|openssl|sil org|exception"
 
 
 def let(value: Column, body) -> Column:
