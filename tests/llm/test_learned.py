@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import corpus_pipeline
 from conftest_llm import SPACED, lower
@@ -41,7 +42,7 @@ def test_toxicity_restores_and_generalises(spark):
 def test_toxicity_restores_whole_tokens_and_runs():
     """Words stay found whatever the length of the token or run that hides them, and wherever they stand in it."""
     common = ["you", "are", "a", "an", "the", "this", "that", "is", "hello", "there", "house", "people", "garden", "window", "morning", "water", "never", "always", "such"]
-    scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 6.0, "stupid": 6.0}, -2.5, {w: 3.0 for w in common}))
+    scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 6.0, "stupid": 6.0}, -2.5, toxicity.trigrams(dict.fromkeys(common, 3.0)), 3.0 * len(common)))
     spaced = lambda t: " ".join(t.replace(" ", ""))
     long = "you are such a stupid people in the morning house there"
     for hidden in (
@@ -55,10 +56,45 @@ def test_toxicity_restores_whole_tokens_and_runs():
 
 
 def test_toxicity_held_out_accuracy(spark):
+    """Held-out rows; some labels are noise (toxic rows without any word that toxic rows share), so recall is over the others."""
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    got = toxicity.op5_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").toPandas()
+    rows = toxicity.op5_toxicity(spark, sf).join(labels, "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").toPandas()
+    words = rows.text.map(lambda t: set(re.findall(r"[^\W\d_]+", (t or "").lower())))
+    count = lambda toxic: Counter(w for ws in words[~rows.held_out & (rows.toxic == toxic)] for w in ws)
+    bad, clean = count(1), count(0)
+    telling = {w for w, n in bad.items() if n >= 5 and not clean[w]}
+    got = rows[rows.held_out]
+    told = words[rows.held_out].map(lambda ws: bool(ws & telling))
     assert (got.predicted == got.toxic).mean() > 0.93 and got[got.toxic == 0].predicted.mean() < 0.02
+    assert (told & (got.toxic == 1)).sum() >= 10 and got[told & (got.toxic == 1)].predicted.mean() >= 0.9
+
+
+def test_toxicity_viterbi_against_all_readings():
+    """The decoded word costs as little as the cheapest of all ways to read a short token."""
+    model = toxicity.CharModel(toxicity.trigrams({"idiot": 3.0, "stupid": 3.0, "total": 2.0, "lots": 1.0, "sit": 1.0}))
+
+    def readings(token):
+        """(cost, word) of every way: keep a letter, read a sign, drop a sign, merge a character with the one before."""
+        states = [("^^", 0.0, "")]
+        for i, c in enumerate(token):
+            ways = [(c, 0.0)] if c.isalpha() else [(x, toxicity._SIGN_COST) for x in toxicity.SIGNS.get(c, "")]
+            new = []
+            for s, cost, out in states:
+                new += [(s[1] + x, cost + own + model.cost(s, x), out + x) for x, own in ways]
+                if (i and c == token[i - 1]) or (out and any(x == s[1] for x, _ in ways)):
+                    new.append((s, cost + toxicity._REPEAT_COST, out))
+                if not c.isalpha():
+                    new.append((s, cost + toxicity._DROP_COST, out))
+            states = new
+        return [(cost + model.cost(s, "$"), out) for s, cost, out in states]
+
+    rng = random.Random(4)
+    for _ in range(150):
+        token = "".join(rng.choice("idotslap1034!$-") for _ in range(rng.randint(1, 7)))
+        ways = readings(toxicity._RUN.sub(r"\1\1\1", token))
+        best = min(c for c, _ in ways)
+        assert any(out == toxicity.restore(token, model) and c <= best + 1e-9 for c, out in ways), token
 
 
 def test_html_articles(spark):
