@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -83,16 +83,28 @@ def _windows(short: str, long_: str) -> float:
     return best
 
 
+def _each_once(pairs: Iterator[tuple[pd.Series, pd.Series]], of: Callable[[str, str], float]) -> Iterator[pd.Series]:
+    """``of`` every pair, worked out once for equal pairs of a batch; both orders of a pair give the same."""
+    for a, b in pairs:
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for x, y in zip(a, b, strict=True):
+            key = (x or "", y or "")
+            key = key if key[0] <= key[1] else key[::-1]
+            if key not in known:
+                known[key] = of(*key)
+            out.append(known[key])
+        yield pd.Series(out, dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    yield from _each_once(pairs, indel_ratio)
 
 
 @F.pandas_udf(DoubleType())
 def partial_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([best_window_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    yield from _each_once(pairs, best_window_ratio)
 
 
 def dot(a: Column, b: Column) -> Column:
