@@ -54,6 +54,11 @@ def purge(keys: DataFrame, most: int = fixed.PURGE_IDS, by: tuple[str, ...] = ("
     return keys.join(counted, list(by), "left_semi")
 
 
+def inverted_index(keys: DataFrame, by: tuple[str, ...] = ("country", "key_type", "key")) -> DataFrame:
+    """(by, entity_ids): the different entities of each key in order of arrival, for reports; joins use the long table."""
+    return keys.groupBy(*by).agg(F.transform(F.array_sort(F.collect_set(F.struct("src", "ord", F.col("entity_id").alias("id")))), lambda x: x["id"]).alias("entity_ids"))
+
+
 def pairs(query: DataFrame, index: DataFrame, same_country: bool = True) -> DataFrame:
     """(s1_id, c_id, src, ord) of entities that share a key; each pair once."""
     on = ["key_type", "key", *(["country"] if same_country else [])]
@@ -65,7 +70,9 @@ def structural_lookup(query: DataFrame, index: DataFrame, same_country: bool = T
     """Pairs by rare word, rare number, acronym or prefix; buckets hold their first 200 rows.
 
     Rarity counts a country's index rows, as the index is built a country at a time.
+    Entities with a blank country have no pairs.
     """
+    query, index = query.filter("country_normalized <> ''"), index.filter("country_normalized <> ''")
     keys = key_table(index, ("acr", "tok", "num", "pfx"))
     counted = keys.filter("key_type IN ('tok', 'num')").groupBy("country", "key_type", "key").agg(F.count("*").alias("n"))
     counted = counted.filter(((F.col("key_type") == "tok") & (F.col("n") <= fixed.RARE_TOKEN_INDEX)) | ((F.col("key_type") == "num") & (F.col("n") <= fixed.RARE_NUMBER_INDEX))).drop("n")
@@ -75,15 +82,22 @@ def structural_lookup(query: DataFrame, index: DataFrame, same_country: bool = T
 
 
 def running_frequency(index: DataFrame) -> DataFrame:
-    """Word keys of the index whose running count in their country, up to and with their own row, is at most 500."""
+    """Word keys of the index whose running count in their country, up to and with their own row, is at most 500.
+
+    A row counts one at least, so only a word's first 500 rows can pass: each
+    task keeps that many of a frequent word before they meet.
+    """
     words = key_table(index, ("tok",))
     per_row = words.groupBy("country", "key_type", "key", "entity_id", "src", "ord").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("country", "key").orderBy("src", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_row.withColumn("seen", F.sum("n").over(w)).filter(F.col("seen") <= fixed.RARE_RUNNING).drop("n", "seen")
+    w = Window.partitionBy("country", "key").orderBy("src", "ord")
+    first = per_row.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= fixed.RARE_RUNNING)
+    return first.withColumn("seen", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(F.col("seen") <= fixed.RARE_RUNNING).drop("n", "seen", "place")
 
 
 def streamed_structural(query: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs of the streamed stage: running word frequency; the query's country does not matter."""
+    """Pairs of the streamed stage: running word frequency; a query entity's own country does not matter, but the index holds only countries that some query entity has."""
+    places = query.filter("country_normalized <> ''").select("country_normalized").distinct()
+    index = index.join(places, "country_normalized", "left_semi")
     other = key_table(index, ("acr", "num", "pfx"))
     return pairs(key_table(query, ("acr", "tok", "num", "pfx")), other.unionByName(running_frequency(index).select(other.columns)), same_country=False)
 

@@ -12,19 +12,20 @@ _NEEDED = ("name_basic", "address_basic", "name_tokens", "address_tokens", "nume
 FEATURES = ["retrieval_score", "name_jaro", "name_ratio", "name_jaccard", "addr_jaro", "addr_ratio", "addr_jaccard", "num_overlap", "num_conflict"]
 
 
-def enriched(pairs: DataFrame, query: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs with both entities' normalised columns (q_*, x_*); an unknown entity has none."""
+def enriched(pairs: DataFrame, query: DataFrame, index: DataFrame, known: bool = False) -> DataFrame:
+    """Pairs with both entities' normalised columns (q_*, x_*); an unknown entity has none, or with ``known`` a pair with an unknown candidate goes."""
     side = lambda df, p, key: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in _NEEDED])
-    return pairs.join(side(query, "q", "s1_id"), "s1_id", "left").join(side(index, "x", "c_id"), "c_id", "left")
+    return pairs.join(side(query, "q", "s1_id"), "s1_id", "left").join(side(index, "x", "c_id"), "c_id", "inner" if known else "left")
 
 
-def pair_features(pairs: DataFrame, query: DataFrame, index: DataFrame, missing: float | None = 0.0, constant_score: bool = False) -> DataFrame:
+def pair_features(pairs: DataFrame, query: DataFrame, index: DataFrame, missing: float | None = 0.0, constant_score: bool = False, known: bool = False) -> DataFrame:
     """s1_id, c_id, the nine features and a label if there is one.
 
     ``missing`` is the Jaccard value of unknown tokens (None: as empty lists);
-    ``constant_score`` gives every pair the retrieval score 1.
+    ``constant_score`` gives every pair the retrieval score 1; with ``known``
+    pairs with a candidate that the index does not hold are dropped.
     """
-    both = enriched(pairs, query, index)
+    both = enriched(pairs, query, index, known)
     # the string ratios cost far more than the rows' size tells: spread the pairs before them
     session = pairs.sparkSession
     both = both.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), "s1_id", "c_id")

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import jaccard
@@ -37,6 +37,34 @@ def score_pairs(model: PipelineModel, pairs: DataFrame, name: str = "match_prob"
     return model.transform(pairs).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def save_matcher(model: PipelineModel, path: str) -> None:
+    """Write a trained matcher, over an older one."""
+    model.write().overwrite().save(path)
+
+
+def load_matcher(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def save_index(embedded: DataFrame, path: str) -> None:
+    """Write (id, embedding), over an older index; :func:`load_index` reads what dense search takes."""
+    embedded.select("id", "embedding").write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, embedding array<float>").parquet(path)
+
+
+def hashed_embedder(size: int = 64) -> Callable[[Column], Column]:
+    """An embedder that needs no model file: counts of a text's words in ``size`` hashed places."""
+
+    def embed_(text: Column) -> Column:
+        places = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+
+    return embed_
+
+
 def importances(model: PipelineModel, features: list[str] = FEATURES, first: int = 15) -> list[tuple[str, float]]:
     """Features by importance, the largest first."""
     values = model.stages[-1].featureImportances.toArray()
@@ -54,7 +82,7 @@ def rerank(pairs: DataFrame, query: DataFrame, index: DataFrame, scorer: Scorer
 
 
 def embed(entities: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
-    """(id, embedding) of entities with any column embedder; write it as Parquet to keep an index."""
+    """(id, embedding) of entities with any column embedder; :func:`save_index` keeps it."""
     from tessera.functions.text import dense_text
 
     return entities.select(F.col("entity_id").alias("id"), embedder(dense_text()).alias("embedding"))

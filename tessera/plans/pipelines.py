@@ -71,7 +71,7 @@ def cascade(query: DataFrame, index: DataFrame, found: DataFrame, model: Pipelin
     if settings.mode == "validate":
         first = query.orderBy("ord").limit(settings.n_val).select(F.col("entity_id").alias("s1_id"))
         found = found.join(first, "s1_id", "left_semi")
-    scored = models.score_pairs(model, features.pair_features(found, query, index, missing=None, constant_score=True), "lgbm_score")
+    scored = models.score_pairs(model, features.pair_features(found, query, index, missing=None, constant_score=True, known=True), "lgbm_score")
     best = retrieve.top_k(scored.select("s1_id", "c_id", F.round("lgbm_score", 9).alias("lgbm_score")), settings.top_k, score="lgbm_score")
     fused = decide.fuse(models.rerank(best, query, index, scorer))
     return decide.decide(fused, "ce_logit", settings.ce_threshold, inclusive=True)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import conflict, dot, jaccard, overlap, partial_ratio, ratio, unit
-from tessera.functions.text import char_grams, normalize, numeric_tokens, search_text, word_grams
+from tessera.functions.text import char_grams, dense_text, lexical_text, normalize, numeric_tokens, search_text, word_grams
 from tessera.operators import blocking, decide, features, metrics, models, retrieve
 from tessera.plans import pipelines
 from tessera.plans.sql import ORACLES  # noqa: F401
+from tessera.sources import files
 from tessera.sources.adapter import entities, normalized, split, table, truth
-from tessera.sources.shared import settle
+from tessera.sources.shared import new_path, settle
 from tessera.streaming import candidates as streaming
 
 QUERIES = {}
@@ -186,9 +187,31 @@ def b1_candidates_cap50(spark, sf_dir):
 
 @query
 def stream_b1_candidates(spark, sf_dir):
-    index = settle(entities(spark, sf_dir).filter("src > 1").coalesce(1).sortWithinPartitions("src", "ord"))
-    stream = spark.readStream.schema(index.schema).parquet(index.inputFiles()[0].rsplit("/", 1)[0])
-    return streaming.stream_candidates(spark, stream, entities(spark, sf_dir).filter("src = 1"))
+    return streaming.stream_candidates(spark, _streamed(entities(spark, sf_dir).filter("src > 1")), entities(spark, sf_dir).filter("src = 1"))
+
+
+def _streamed(df: DataFrame) -> DataFrame:
+    """``df``, written and read as a stream of files."""
+    df = settle(df)
+    return df.sparkSession.readStream.schema(df.schema).parquet(df.inputFiles()[0].rsplit("/", 1)[0])
+
+
+@query
+def stream_running_frequency(spark, sf_dir):
+    """Words of streamed index rows while their running count is at most 500."""
+    words = blocking.key_table(split(normalized(spark, sf_dir))[1], ("tok",)).select("country", "key", F.col("entity_id").alias("c_id"), "src", "ord")
+    path = streaming.append_all(streaming.running_frequency(_streamed(words)))
+    return spark.read.schema("country string, key string, c_id string, src int, ord long").parquet(path).select("country", "key", "c_id")
+
+
+@query
+def stream_best_scores(spark, sf_dir):
+    """Each entity's best candidates from a stream of scored pairs."""
+    stream = streaming.best_scores(_streamed(_scored(spark, sf_dir).select("s1_id", "c_id", "score")))
+    path = new_path(spark)
+    streaming.each_batch(stream, lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(path), f"{path}-state", "update")
+    every = spark.read.schema("s1_id string, c_id string, score double, batch int").parquet(path)
+    return every.join(every.groupBy("s1_id").agg(F.max("batch").alias("batch")), ["s1_id", "batch"], "left_semi").select("s1_id", "c_id", "score")
 
 
 @query
@@ -231,11 +254,10 @@ def bm25_top50(spark, sf_dir):
 
 @query
 def bm25_recall(spark, sf_dir):
-    """Recall of documents that hold an item's first 60 characters."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.substring("text", 1, 60).alias("start"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d_id"), "text")
-    held = F.broadcast(items) if items.count() <= 10_000 else items
-    t = docs.join(held, F.col("text").contains(F.col("start"))).select("q_id", "d_id")
+    """Recall of documents that share ten words in a row (parted by single spaces) with an item."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    runs = lambda df, name: df.select(F.col(df.columns[0]).alias(name), words.alias("w")).filter(F.size("w") >= 10).select(name, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 9), lambda i: F.md5(F.array_join(F.slice("w", i, 10), " ").cast("binary")))).alias("run")).distinct()
+    t = runs(table(spark, sf_dir, "benchmark").select("item_id", "text"), "q_id").join(runs(table(spark, sf_dir, "documents").select("doc_id", "text"), "d_id"), "run").select("q_id", "d_id").distinct()
     hits = t.join(_bm25(spark, sf_dir).select("q_id", "d_id", "rank"), ["q_id", "d_id"], "left").groupBy("q_id").agg((F.count("rank") / F.count("*")).alias("h"))
     return hits.agg(F.round(100 * F.avg("h"), 6).alias("recall_at_50"), F.count("*").alias("n_queries"))
 
@@ -334,12 +356,13 @@ def decision(spark, sf_dir):
 
 @query
 def gbt_match(spark, sf_dir):
-    """Train on structural candidates labelled by truth, then match first arrivals."""
+    """Train on structural candidates labelled by truth, keep and load the model, then match first arrivals."""
     s1, s23 = _sides(spark, sf_dir)
     found = features.label(blocking.arrival_candidates(s1, s23).select("s1_id", "c_id"), truth(spark, sf_dir))
     rows = settle(features.pair_features(found, s1, s23, constant_score=True))
-    model = models.train_matcher(rows, rounds=10)
-    return models.score_pairs(model, rows).select("s1_id", "c_id", "match_prob", "label")
+    path = new_path(spark)
+    models.save_matcher(models.train_matcher(decide.hash_split(rows, "s1_id"), held="held"), path)
+    return models.score_pairs(models.load_matcher(path), rows).select("s1_id", "c_id", "match_prob", "label")
 
 
 @query
@@ -347,7 +370,8 @@ def cascade_match(spark, sf_dir):
     """The model's best ten of each entity and the reranker's decision."""
     s1, s23 = _sides(spark, sf_dir)
     found = settle(features.label(blocking.arrival_candidates(s1, s23).select("s1_id", "c_id"), truth(spark, sf_dir)))
-    model = models.train_matcher(settle(features.pair_features(found, s1, s23, constant_score=True)), rounds=5)
+    rows = decide.hash_split(settle(features.pair_features(found, s1, s23, constant_score=True)), "s1_id")
+    model = models.train_matcher(rows, held="held")
     return pipelines.cascade(s1, s23, found.drop("label"), model)
 
 
@@ -403,6 +427,135 @@ def first_rows(spark, sf_dir):
     return s1.filter("ord < 100").select("entity_id")
 
 
+@query
+def source_round_trip(spark, sf_dir):
+    """Entities written as a TSV and read as a source, rows of one country."""
+    path = new_path(spark)
+    rows = entities(spark, sf_dir).select("entity_id", "business_name", "business_address", "country")
+    files.write_tsv(rows, path)
+    return files.read_source(spark, path, columns=["entity_id", "business_name"], country="de")
+
+
+@query
+def truth_file(spark, sf_dir):
+    """Match lists written as a result file and decoded as truth."""
+    path = new_path(spark)
+    s1, _ = split(entities(spark, sf_dir))
+    files.write_lists(pipelines.as_lists(s1, truth(spark, sf_dir), "c_id"), path)
+    return files.read_truth(spark, path).select("s1_id", F.array_join(F.array_sort("c_ids"), ",").alias("matched"))
+
+
+@query
+def truth_sample(spark, sf_dir):
+    """50 rows of a truth file in hash order: a sampling operator."""
+    path = new_path(spark)
+    s1, _ = split(entities(spark, sf_dir))
+    files.write_lists(pipelines.as_lists(s1, truth(spark, sf_dir), "c_id"), path)
+    return files.truth_sample(spark, path, 50).select("s1_id", F.array_join(F.array_sort("c_ids"), ",").alias("matched"))
+
+
+@query
+def candidate_file(spark, sf_dir):
+    """Exact candidates, written in the first source's order in two appended parts; the first 60 rows of the file as read."""
+    path = new_path(spark)
+    s1, s23 = split(entities(spark, sf_dir))
+    lists = blocking.exact_match(s1, s23).join(s1.select(F.col("entity_id").alias("s1_id"), F.col("ord").alias("row")), "s1_id")
+    files.write_lists(lists, path, "candidate_entity_ids", single=True)
+    return files.read_candidates(spark, path, first=60).select("s1_id", F.array_join("c_ids", ",").alias("candidates"))
+
+
+@query
+def appended_results(spark, sf_dir):
+    """A result file written country by country, each appended."""
+    path = new_path(spark)
+    s1, s23 = split(entities(spark, sf_dir))
+    lists = settle(blocking.exact_match(s1, s23).join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id"))
+    for i, r in enumerate(lists.select("country").distinct().orderBy("country").collect()):
+        files.write_lists(lists.filter(F.col("country").eqNullSafe(F.lit(r.country))).drop("country"), path, append=i > 0)
+    return files.read_truth(spark, path).select("s1_id", F.array_join("c_ids", ",").alias("matched"))
+
+
+@query
+def normalized_table(spark, sf_dir):
+    """Normalised rows written with one folder a country, and read back by country."""
+    path = new_path(spark)
+    files.write_normalized(normalized(spark, sf_dir), path)
+    kept = spark.read.parquet(path).filter("country_normalized = 'de'")
+    return files.read_needed(kept, split(kept)[0], ["entity_id", "name_core", "numeric_tokens"]).select("entity_id", "name_core", F.array_join("numeric_tokens", " ").alias("numeric_tokens"))
+
+
+@query
+def report_file(spark, sf_dir):
+    """Row counts written as a text report and read back."""
+    path = new_path(spark)
+    files.write_report(metrics.row_counts(entities(spark, sf_dir)), path)
+    return spark.read.schema("src int, n long").option("sep", "\t").option("header", True).csv(path)
+
+
+@query
+def hash_sample(spark, sf_dir):
+    """100 ids in hash order: a sampling operator."""
+    return decide.hash_sample(split(entities(spark, sf_dir))[0], "entity_id", 100).select("entity_id")
+
+
+@query
+def retriever_texts(spark, sf_dir):
+    return normalized(spark, sf_dir).select("entity_id", lexical_text().alias("lexical"), dense_text().alias("dense"))
+
+
+@query
+def bm25_entities(spark, sf_dir):
+    """BM25 of first-source entities over the others' texts; ranks without a common word score 0."""
+    s1, s23 = _sides(spark, sf_dir)
+    side = lambda df, name: df.select(F.col("entity_id").alias(name), lexical_text().alias("text"))
+    return _rounded(retrieve.bm25(side(s1, "q_id"), side(s23, "d_id"), zeros=True))
+
+
+@query
+def dense_index(spark, sf_dir):
+    """Hashed word counts of entities, kept as an index and searched."""
+    s1, s23 = _sides(spark, sf_dir)
+    path = new_path(spark)
+    embedder = models.hashed_embedder()
+    models.save_index(models.embed(s23, embedder), path)
+    ids = lambda df: df.select(F.substring("id", 2, 19).cast("long").alias("id"), "embedding")
+    return _rounded(retrieve.dense_top(ids(models.embed(s1, embedder)), ids(models.load_index(spark, path)), 5))
+
+
+@query
+def random_negatives(spark, sf_dir):
+    s1, s23 = split(entities(spark, sf_dir))
+    return features.random_negatives(s1, s23, truth(spark, sf_dir))
+
+
+@query
+def inverted_index(spark, sf_dir):
+    """Entities of each acronym and prefix, in order of arrival."""
+    index = blocking.inverted_index(blocking.key_table(split(normalized(spark, sf_dir))[1], ("acr", "pfx")))
+    return index.select("country", "key_type", "key", F.array_join("entity_ids", ",").alias("entity_ids"))
+
+
+@query
+def run_counters(spark, sf_dir):
+    s1, s23 = split(entities(spark, sf_dir))
+    return metrics.run_counters(_ids(s1), blocking.exact_match(s1, s23), _exact(spark, sf_dir)[0])
+
+
+@query
+def validate_file(spark, sf_dir):
+    """Checks of a result file as written."""
+    path = new_path(spark)
+    s1, s23 = split(entities(spark, sf_dir))
+    files.write_lists(blocking.exact_match(s1, s23), path)
+    return metrics.file_checks(spark, path, _ids(s1))
+
+
+@query
+def sample_matches(spark, sf_dir):
+    """The first three matched entities: a report."""
+    return metrics.samples(blocking.exact_match(*split(entities(spark, sf_dir))))
+
+
 QUERIES["numeric_tokens"] = QUERIES.pop("numeric_tokens_")
 
 

@@ -44,11 +44,12 @@ def _block(kind: str) -> str:
 STRUCTURAL = """, cnt AS (SELECT country, key_type, key, count(*) AS n FROM keys WHERE src > 1 GROUP BY ALL),
 idx AS (SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY k.country, k.key_type, k.key ORDER BY src, ord) AS rn FROM keys k JOIN cnt USING (country, key_type, key)
   WHERE src > 1 AND key_type <> 'exact' AND (key_type NOT IN ('tok', 'num') OR n <= CASE key_type WHEN 'tok' THEN 100 ELSE 500 END)) WHERE rn <= 200),
-found AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS c_id FROM keys a JOIN idx b USING (country, key_type, key) WHERE a.src = 1)"""
+found AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS c_id FROM keys a JOIN idx b USING (country, key_type, key) WHERE a.src = 1 AND country <> '')"""
 
-STREAMED = """, run AS (SELECT *, sum(n) OVER (PARTITION BY country, key ORDER BY src, ord ROWS UNBOUNDED PRECEDING) AS seen
+STREAMED = """, place AS (SELECT DISTINCT country_normalized AS country FROM n WHERE src = 1 AND country_normalized <> ''),
+run AS (SELECT *, sum(n) OVER (PARTITION BY country, key ORDER BY src, ord ROWS UNBOUNDED PRECEDING) AS seen
   FROM (SELECT entity_id, src, ord, country, key, count(*) AS n FROM keys WHERE src > 1 AND key_type = 'tok' GROUP BY ALL)),
-idx AS (SELECT entity_id, key_type, key FROM keys WHERE src > 1 AND key_type IN ('acr', 'num', 'pfx') UNION ALL SELECT entity_id, 'tok', key FROM run WHERE seen <= 500),
+idx AS (SELECT entity_id, key_type, key FROM keys JOIN place USING (country) WHERE src > 1 AND key_type IN ('acr', 'num', 'pfx') UNION ALL SELECT entity_id, 'tok', key FROM run JOIN place USING (country) WHERE seen <= 500),
 found AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS c_id FROM keys a JOIN idx b USING (key_type, key) WHERE a.src = 1)"""
 
 ARRIVAL = """, tokn AS (SELECT key, count(*) AS n FROM keys WHERE src = 1 AND key_type = 'tok' GROUP BY key),
@@ -72,7 +73,7 @@ def cosine(kind: str) -> str:
     """Tables g_, w_ and s_ of one kind of gram: counts, unit weights, scores."""
     return f""", {kind}_g AS (SELECT entity_id, src, country, gram, count(*) AS tf FROM ({_grams(kind)}) GROUP BY ALL),
 {kind}_w AS (SELECT entity_id, src, country, gram, tf / sqrt(sum(tf * tf) OVER (PARTITION BY entity_id)) AS w FROM {kind}_g),
-{kind}_s AS (SELECT a.entity_id AS s1_id, b.entity_id AS c_id, round(sum(a.w * b.w), 9) AS score FROM {kind}_w a JOIN {kind}_w b USING (country, gram) WHERE a.src = 1 AND b.src > 1 GROUP BY ALL)"""
+{kind}_s AS (SELECT a.entity_id AS s1_id, b.entity_id AS c_id, round(sum(a.w * b.w), 9) AS score FROM {kind}_w a JOIN {kind}_w b USING (country, gram) WHERE a.src = 1 AND b.src > 1 AND country <> '' GROUP BY ALL)"""
 
 
 def ranked(source: str, k: int, keep: str = "s1_id, c_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank", by: str = "s1_id", item: str = "c_id") -> str:
@@ -93,6 +94,18 @@ EXACT = """, b0 AS (SELECT a.entity_id AS s1_id, list(b.entity_id ORDER BY b.src
 SCORED = f""", ex AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS c_id FROM n a JOIN n b ON a.country_normalized = b.country_normalized AND a.name_basic = b.name_basic WHERE a.src = 1 AND b.src > 1),
 sc AS (SELECT ex.s1_id, ex.c_id, round({_jaccard('a.address_tokens', 'b.address_tokens')}, 6) AS score, {_jaccard('a.name_tokens', 'b.name_tokens')} AS name_jaccard,
   a.numeric_tokens AS qn, b.numeric_tokens AS xn FROM ex JOIN n a ON a.entity_id = ex.s1_id JOIN n b ON b.entity_id = ex.c_id)"""
+
+
+def _runs(key: str, name: str, source: str) -> str:
+    return f"SELECT DISTINCT {key} AS {name}, unnest(list_transform(range(1, len(w) - 8), lambda i: md5(array_to_string(list_slice(w, i, i + 9), ' ')))) AS run FROM (SELECT {key}, string_split(coalesce(text, ''), ' ') AS w FROM {source}) WHERE len(w) >= 10"
+
+
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts, row by row of its table."""
+    row = f"list_reduce(range(1, length({b}) + 1), lambda r, j: list_append(r, greatest(r[j], p[j + 1], CASE WHEN substr({b}, j, 1) = c[1] THEN p[j] + 1 ELSE 0 END)), [0])"
+    return f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [substr({a}, i, 1)]), lambda p, c: {row}, list_transform(range(0, length({b}) + 1), lambda i: 0))[length({b}) + 1]"
+
+
 BM25 = f"""WITH w AS (SELECT doc_id AS d_id, {_words(_clean('text'))} AS t FROM documents),
 p AS (SELECT d_id, len(t) AS dl, unnest(t) AS term FROM w), tf AS (SELECT term, d_id, dl, count(*) AS tf FROM p GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM w),
@@ -117,6 +130,34 @@ ORACLES = {
       round(100.0 * count(*) FILTER (k = 0) / count(*), 6) AS pct_singletons, round(100.0 * count(*) FILTER (k > 1) / count(*), 6) AS pct_one_to_many FROM l""",
     "truth_pairs": f"{NORM} SELECT s1_id, c_id FROM truth",
     "label_pairs": f"{NORM}{SCORED} SELECT ex.s1_id, ex.c_id, CASE WHEN t.c_id IS NULL THEN 0 ELSE 1 END AS label FROM ex LEFT JOIN (SELECT DISTINCT * FROM truth) t ON ex.s1_id = t.s1_id AND ex.c_id = t.c_id",
+    "hash_split_counts": f"{NORM} SELECT CAST('0x' || substr(md5(entity_id || ':42'), 1, 8) AS BIGINT) % 100 < 20 AS held, count(*) AS n FROM ent WHERE src = 1 GROUP BY 1",
+    "hash_sample": f"{NORM} SELECT entity_id FROM ent WHERE src = 1 ORDER BY md5(entity_id || ':42'), entity_id LIMIT 100",
+    "source_round_trip": f"{NORM} SELECT entity_id, coalesce(business_name, '') AS business_name FROM ent WHERE country = 'de'",
+    "truth_file": f"{NORM} SELECT entity_id AS s1_id, coalesce(string_agg(DISTINCT c_id, ',' ORDER BY c_id), '') AS matched FROM ent LEFT JOIN truth ON entity_id = s1_id WHERE src = 1 GROUP BY entity_id",
+    "truth_sample": f"{NORM} SELECT entity_id AS s1_id, coalesce(string_agg(DISTINCT c_id, ',' ORDER BY c_id), '') AS matched FROM ent LEFT JOIN truth ON entity_id = s1_id WHERE src = 1 GROUP BY entity_id ORDER BY md5(entity_id || ':42'), entity_id LIMIT 50",
+    "candidate_file": NORM + EXACT.format(ent="ent", more="") + " SELECT s1_id, coalesce(array_to_string(c_ids, ','), '') AS candidates FROM b0 ORDER BY ord LIMIT 60",
+    "appended_results": NORM + EXACT.format(ent="ent", more="") + " SELECT s1_id, coalesce(array_to_string(c_ids, ','), '') AS matched FROM b0",
+    "normalized_table": f"{NORM} SELECT entity_id, name_core, array_to_string(numeric_tokens, ' ') AS numeric_tokens FROM n WHERE src = 1 AND country_normalized = 'de'",
+    "report_file": f"{NORM} SELECT CAST(src AS INTEGER) AS src, count(*) AS n FROM ent GROUP BY src",
+    "retriever_texts": f"{NORM} SELECT entity_id, name_basic || ' ' || address_basic || ' ' || array_to_string(numeric_tokens, ' ') || ' ' || country_normalized AS lexical, name_basic || ' ' || address_basic || ' ' || country_normalized AS dense FROM n",
+    "inverted_index": f"{NORM} SELECT country, key_type, key, string_agg(entity_id, ',' ORDER BY src, ord) AS entity_ids FROM (SELECT DISTINCT country, key_type, key, entity_id, src, ord FROM keys WHERE src > 1 AND key_type IN ('acr', 'pfx')) GROUP BY ALL",
+    "run_counters": NORM + EXACT.format(ent="ent", more="") + SCORED + """ SELECT unnest(['entities', 'with_match', 'singletons', 'matches', 'pairs_scored']) AS metric,
+      unnest([count(*), count(*) FILTER (len(c_ids) > 0), count(*) FILTER (coalesce(len(c_ids), 0) = 0), coalesce(CAST(sum(len(c_ids)) AS BIGINT), 0), (SELECT count(*) FROM ex)]) AS value FROM b0""",
+    "validate_file": NORM + EXACT.format(ent="ent", more="") + """ SELECT unnest(['missing_file', 'wrong_columns', 'index_column', 'row_count_difference', 'repeated_ids', 'missing_ids', 'extra_ids', 'matched', 'singletons']) AS name,
+      unnest(['error', 'error', 'error', 'error', 'error', 'error', 'warning', 'info', 'info']) AS severity, unnest([0, 0, 0, 0, 0, 0, 0, count(*) FILTER (len(c_ids) > 0), count(*) FILTER (coalesce(len(c_ids), 0) = 0)]) AS n FROM b0""",
+    "sample_matches": NORM + EXACT.format(ent="ent", more="") + " SELECT s1_id, substr(array_to_string(c_ids, ','), 1, 60) AS matched FROM b0 WHERE len(c_ids) > 0 ORDER BY s1_id LIMIT 3",
+    "stream_running_frequency": f"{NORM}{STREAMED} SELECT country, key, entity_id AS c_id FROM run WHERE seen <= 500",
+    "stream_best_scores": f"{NORM}{SCORED} SELECT s1_id, c_id, score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, c_id) AS rn FROM sc) WHERE rn <= 200",
+    "bm25_entities": NORM + """, w AS (SELECT entity_id AS d_id, src, """ + _words(_clean("name_basic || ' ' || address_basic || ' ' || array_to_string(numeric_tokens, ' ') || ' ' || country_normalized")) + """ AS t FROM n),
+      p AS (SELECT d_id, len(t) AS dl, unnest(t) AS term FROM w WHERE src > 1), tf AS (SELECT term, d_id, dl, count(*) AS tf FROM p GROUP BY ALL),
+      st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM w WHERE src > 1),
+      raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n),
+      idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+      qs AS (SELECT d_id AS q_id, unnest(t) AS term FROM w WHERE src = 1),
+      s0 AS (SELECT q_id, d_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 9) AS score FROM qs JOIN tf USING (term) JOIN idf USING (term), st GROUP BY q_id, d_id),
+      s AS (SELECT a.d_id AS q_id, b.d_id, coalesce(score, 0.0) AS score FROM w a CROSS JOIN w b LEFT JOIN s0 ON s0.q_id = a.d_id AND s0.d_id = b.d_id WHERE a.src = 1 AND b.src > 1) """ + ranked("s", 50, "q_id, d_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank", "q_id", "d_id"),
+    "ratio_feature": f"""{NORM}{SCORED}, t AS (SELECT ex.s1_id, ex.c_id, a.address_basic AS a, b.address_basic AS b FROM ex JOIN n a ON a.entity_id = s1_id JOIN n b ON b.entity_id = c_id)
+      SELECT s1_id, c_id, round(CASE WHEN a = '' AND b = '' THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 2.0 * {_lcs('a', 'b')} / (length(a) + length(b)) END, 6) AS addr_ratio FROM t""",
     "modulo_split_counts": f"{NORM} SELECT (ord // 5) % 5 = 0 AS held, count(*) AS n FROM ent WHERE src = 1 GROUP BY 1",
     "b0_exact_match": NORM + EXACT.format(ent="ent", more="") + " SELECT s1_id, coalesce(array_to_string(c_ids, ','), '') AS matched FROM b0",
     "b0_allow_empty": NORM + ", e2 AS (SELECT * REPLACE (CASE WHEN ord % 10 < 2 THEN '' ELSE business_name END AS business_name) FROM ent)" + EXACT.format(ent="e2", more="") + " SELECT s1_id, coalesce(array_to_string(c_ids, ','), '') AS matched FROM b0",
@@ -135,7 +176,7 @@ ORACLES = {
     "merge_retrievers_top100": NORM + cosine("char") + cosine("word") + ", m AS (SELECT s1_id, c_id, max(score) AS score FROM (SELECT s1_id, c_id, score FROM (" + ranked("char_s", 50, "s1_id, c_id, score") + ") UNION ALL SELECT s1_id, c_id, score FROM (" + ranked("word_s", 50, "s1_id, c_id, score") + ")) GROUP BY ALL) " + ranked("m", 100),
     "merge_structural_base": NORM + cosine("word") + STRUCTURAL + ", t AS (" + ranked("word_s", 50, "s1_id, c_id, score") + ") SELECT coalesce(t.s1_id, f.s1_id) AS s1_id, coalesce(t.c_id, f.c_id) AS c_id, round(coalesce(score, 0.1), 5) AS score FROM t FULL JOIN found f ON t.s1_id = f.s1_id AND t.c_id = f.c_id",
     "bm25_top50": BM25 + " " + ranked("s", 50, "q_id, d_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank", "q_id", "d_id"),
-    "bm25_recall": BM25 + f""", r AS ({ranked("s", 50, "q_id, d_id, rank", "q_id", "d_id")}), t AS (SELECT item_id AS q_id, doc_id AS d_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))
+    "bm25_recall": BM25 + f""", r AS ({ranked("s", 50, "q_id, d_id, rank", "q_id", "d_id")}), t AS (SELECT DISTINCT q_id, d_id FROM ({_runs("item_id", "q_id", "benchmark")}) JOIN ({_runs("doc_id", "d_id", "documents")}) USING (run))
       SELECT round(100 * avg(h), 6) AS recall_at_50, count(*) AS n_queries FROM (SELECT t.q_id, count(r.d_id) / count(*) AS h FROM t LEFT JOIN r ON t.q_id = r.q_id AND t.d_id = r.d_id GROUP BY t.q_id)""",
     "dense_top10": DENSE + " " + ranked("s", 10, "q_id, c_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank", "q_id"),
     "dense_recall": DENSE + f", r AS ({ranked('s', 10, 'q_id, ql, xl', 'q_id')}) SELECT round(100 * avg(CASE WHEN ql = xl THEN 1.0 ELSE 0.0 END), 6) AS same_label, count(*) AS n FROM r",

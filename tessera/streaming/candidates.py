@@ -52,6 +52,24 @@ def best_scores(scored: DataFrame, k: int = 200) -> DataFrame:
     return scored.groupBy("s1_id").applyInPandasWithState(step, "s1_id string, c_id string, score double", "ids array<string>, scores array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def running_frequency(words: DataFrame, most: int = fixed.RARE_RUNNING) -> DataFrame:
+    """Append stream of the words (country, key, c_id, src, ord) whose running count, up to and with their own row, is at most ``most``.
+
+    The state of a word is its count so far; within a batch rows count in order of arrival.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (seen,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(batches)).groupby(["src", "ord", "c_id"], as_index=False).size().sort_values(["src", "ord"])
+        upto = seen + rows["size"].cumsum()
+        state.update((int(min(upto.iloc[-1], 2**31 - 1)),))
+        rows = rows[upto <= most]
+        yield pd.DataFrame({"country": key[0], "key": key[1], "c_id": rows["c_id"], "src": rows["src"], "ord": rows["ord"]})
+
+    kind = words.select("country", "key", "c_id", "src", "ord").schema
+    return words.groupBy("country", "key").applyInPandasWithState(step, kind, "seen int", "append", GroupStateTimeout.NoTimeout)
+
+
 def append_all(stream: DataFrame, path: str | None = None) -> str:
     """Append what has arrived to a Parquet folder, then stop; the folder's path."""
     spark = stream.sparkSession
@@ -61,9 +79,9 @@ def append_all(stream: DataFrame, path: str | None = None) -> str:
     return path
 
 
-def each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], state: str) -> None:
-    """Run ``action`` on each micro-batch of what has arrived."""
-    stream.writeStream.foreachBatch(action).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+def each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
+    """Run ``action`` on each micro-batch of what has arrived; states that are updated need ``mode`` update."""
+    stream.writeStream.outputMode(mode).foreachBatch(action).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_candidates(spark: SparkSession, index: DataFrame, query: DataFrame, cap: int = fixed.ARRIVALS) -> DataFrame:

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from tessera.plans.sql import ORACLES
 
 SF = "/root/testdata/sf0.001"
-FAST = ["normalize_entities", "truth_pairs", "b0_exact_match", "b0_validation", "block_acronym", "block_rare_token", "structural_lookup", "bucket_cap_200", "purge_over_200", "bm25_top50", "calibrate_threshold", "validate_output", "candidate_union"]
+FAST = ["normalize_entities", "truth_pairs", "b0_exact_match", "b0_validation", "block_acronym", "block_rare_token", "structural_lookup", "bucket_cap_200", "purge_over_200", "bm25_top50", "calibrate_threshold", "validate_output", "candidate_union", "char_cosine_top50", "word_cosine_top50", "recall_at_k", "bm25_entities", "bm25_recall", "ratio_feature", "hash_split_counts", "source_round_trip", "candidate_file", "truth_file", "validate_file", "stream_best_scores", "stream_running_frequency"]
 
 
 def test_entry(spark):

@@ -1,8 +1,12 @@
 import os
+import random
+import zipfile
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking
+from tessera.operators import blocking, metrics
+from tessera.plans import pipelines
 from tessera.plans.queries import QUERIES
 from tessera.sources import files
 from tessera.sources.adapter import entities
@@ -58,3 +62,85 @@ def test_capped_state_over_batches(spark, tmp_path):
 def test_blocks_do_not_lose_entities(spark):
     s1 = entities(spark, SF).filter("src = 1")
     assert blocking.exact_match(s1, entities(spark, SF).filter("src > 1")).count() == s1.count()
+
+
+def test_running_frequency_state_over_batches(spark, tmp_path):
+    """What the state lets pass over three batches is what the batch form lets pass."""
+    folder = str(tmp_path / "in")
+    rng = random.Random(5)
+    rows = [(rng.choice(["us", "fr"]), rng.choice("abc"), f"c{i // 2}", 2 + i // 120, i // 2) for i in range(180)]
+    for i in range(3):
+        spark.createDataFrame(rows[60 * i : 60 * i + 60], "country string, key string, c_id string, src int, ord long").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("country string, key string, c_id string, src int, ord long").option("maxFilesPerTrigger", 1).parquet(folder)
+    got = {(r.country, r.key, r.c_id) for r in spark.read.parquet(streaming.append_all(streaming.running_frequency(stream, 20))).collect()}
+    seen, want = Counter((c, k) for c, k, *_ in []), set()
+    for c, e in dict.fromkeys((r[0], r[2]) for r in rows):
+        for k, n in Counter(r[1] for r in rows if (r[0], r[2]) == (c, e)).items():
+            seen[c, k] += n
+            if seen[c, k] <= 20:
+                want.add((c, k, e))
+    assert got == want
+
+
+def test_best_scores_state_over_batches(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rng = random.Random(8)
+    rows = [(f"q{rng.randint(0, 2)}", f"c{rng.randint(0, 9)}", rng.randint(0, 99) / 100) for _ in range(90)]
+    for i in range(3):
+        spark.createDataFrame(rows[30 * i : 30 * i + 30], "s1_id string, c_id string, score double").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("s1_id string, c_id string, score double").option("maxFilesPerTrigger", 1).parquet(folder)
+    streaming.each_batch(streaming.best_scores(stream, 4), lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out), str(tmp_path / "state"), "update")
+    last = {}
+    for r in sorted(spark.read.parquet(out).collect(), key=lambda r: r.batch):
+        last.setdefault(r.s1_id, {}).setdefault(r.batch, []).append((r.c_id, r.score))
+    for q in {r[0] for r in rows}:
+        best = {}
+        for _, c, s in (r for r in rows if r[0] == q):
+            best[c] = max(s, best.get(c, s))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4]
+        assert sorted(last[q][max(last[q])], key=lambda x: (-x[1], x[0])) == want
+
+
+def test_file_checks(spark, tmp_path):
+    ids = spark.createDataFrame([("a",), ("b",)], "s1_id string")
+    n = lambda path: {r.name: r.n for r in metrics.file_checks(spark, str(tmp_path / path), ids).collect()}
+    assert n("nothing") == {"missing_file": 1}
+    (tmp_path / "good").write_text("source1_entity_id\tmatched_entity_ids\na\tx,y\nb\t\n")
+    good = n("good")
+    assert good["matched"] == good["singletons"] == 1 and not any(v for k, v in good.items() if k not in ("matched", "singletons"))
+    (tmp_path / "index").write_text("\tsource1_entity_id\tmatched_entity_ids\n0\ta\tx\n1\ta\t\n")
+    bad = n("index")
+    assert bad["index_column"] == bad["wrong_columns"] == bad["repeated_ids"] == bad["missing_ids"] == 1
+    (tmp_path / "other").write_text("id\tmatched\na\tx\n")
+    assert n("other") == {"missing_file": 0, "wrong_columns": 1, "index_column": 0}
+
+
+def test_appended_parts_samples_and_numbers(spark, tmp_path):
+    out = str(tmp_path / "out")
+    part = lambda rows: spark.createDataFrame(rows, "s1_id string, c_ids array<string>")
+    files.write_lists(part([("a", ["x "])]), out)
+    files.write_lists(part([("b", [])]), out, append=True)
+    assert {r.s1_id: list(r.c_ids) for r in files.read_truth(spark, out).collect()} == {"a": ["x"], "b": []}
+    t = tmp_path / "t.tsv"
+    t.write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"e{i}\t x{i} ,nan,,\n" for i in range(30)))
+    got = files.truth_sample(spark, str(t), 10).collect()
+    assert len(got) == 10 and all(list(r.c_ids) == ["x" + r.s1_id[1:]] for r in got) and got == files.truth_sample(spark, str(t), 10).collect()
+    df = spark.range(100).repartition(7)
+    assert sorted(r.row for r in files.numbered(df).collect()) == list(range(100))
+    assert files.numbered(spark.range(0)).count() == 0
+    assert [r.row for r in files.numbered(spark.range(50, numPartitions=3)).orderBy("id").collect()] == list(range(50))
+    assert metrics.samples(part([("b", ["x"]), ("a", ["y", "z"]), ("c", [])]), 1).collect() == [("a", "y,z")]
+
+
+def test_unpacked_from_an_archive_and_guards(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "test.zip", "w") as z:
+        z.writestr("deep/needed.tsv", "x")
+    assert open(files.find_file("needed.tsv", [str(tmp_path)], archive="test.zip")).read() == "x"
+    assert files.have_all([str(tmp_path)]) and not files.have_all([str(tmp_path), "/nowhere"])
+    got = files.read_needed(spark.range(10).withColumn("v", F.col("id") * 2), spark.range(3), ["v"], key="id")
+    assert sorted(r.v for r in got.collect()) == [0, 2, 4]
+
+
+def test_settings():
+    got = pipelines.settings_from(["--mode", "validate", "--n-val", "5", "--top-k", "3"])
+    assert (got.mode, got.n_val, got.top_k, got.ce_threshold) == ("validate", 5, 3, 0.45)

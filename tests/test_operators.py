@@ -1,9 +1,13 @@
+import math
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.text import char_grams, normalize, search_text
+from tessera.functions.text import char_grams, normalize, search_text, word_grams
 from tessera.operators import blocking, decide, features, metrics, models, retrieve
 from tessera.plans import pipelines
 
@@ -51,6 +55,35 @@ def test_cosine(spark):
     assert [(r.c_id, round(r.score, 6)) for r in got] == [("c", 0.707107)]
 
 
+@pytest.mark.parametrize("gram", [char_grams, word_grams])
+def test_cosine_against_loop(spark, monkeypatch, gram):
+    """Pairs, thresholds and best lists of every block size, with ties, repeated grams and blank countries."""
+    rng = random.Random(7)
+    monkeypatch.setattr(retrieve, "PRODUCTS", 50)
+    words = ["prime", "money", "mony", "stone", "works", "works works", "ab", "x"]
+    rows = [(f"e{i}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))), rng.choice(["", "high st", "12 low rd"]), rng.choice(["us", "fr", "", " "]), 1 + i % 3, i) for i in range(60)]
+    everyone = people(spark, rows)
+    s1, s23 = everyone.filter("src = 1"), everyone.filter("src > 1")
+    grams = {r.entity_id: (r.c, Counter(r.g)) for r in everyone.select("entity_id", F.col("country_normalized").alias("c"), gram(search_text()).alias("g")).collect()}
+    side = {r[0]: r[4] for r in rows}
+    want = {}
+    for a, (ca, ga) in grams.items():
+        for b, (cb, gb) in grams.items():
+            if side[a] == 1 and side[b] > 1 and ca == cb != "" and (both := sum(ga[g] * gb[g] for g in ga)):
+                want[a, b] = round(both / math.sqrt(sum(v * v for v in ga.values()) * sum(v * v for v in gb.values())), 6)
+    for block in (1, 3, 100):
+        got = retrieve.cosine_pairs(s1, s23, gram(search_text()), block=block)
+        assert {(r.s1_id, r.c_id): round(r.score, 6) for r in got.collect()} == pytest.approx(want)
+        high = retrieve.cosine_pairs(s1, s23, gram(search_text()), 0.5, block)
+        assert {(r.s1_id, r.c_id) for r in high.collect()} == {p for p, v in want.items() if v > 0.5}
+        best = retrieve.cosine_top(s1, s23, gram(search_text()), 3, block)
+        lists = defaultdict(list)
+        for (a, b), v in want.items():
+            lists[a].append((-v, b))
+        assert {(r.s1_id, r["rank"], r.c_id) for r in best.collect()} == {(a, i + 1, b) for a, x in lists.items() for i, (_, b) in enumerate(sorted(x)[:3])}
+    assert retrieve.cosine_top(s1.limit(0), s23, gram(search_text()), 3).count() == retrieve.cosine_top(s1, s23.limit(0), gram(search_text()), 3).count() == 0
+
+
 def test_bm25(spark):
     corpus = spark.createDataFrame([(1, "a b"), (2, "a c c"), (3, "d"), (4, None)][:3], "d_id long, text string")
     q = spark.createDataFrame([(1, "c"), (2, "a"), (3, "a c"), (4, ""), (5, None)], "q_id long, text string")
@@ -113,3 +146,69 @@ def test_matcher_and_cascade(spark):
     kept = pipelines.cascade(s1, s23, found, model)
     assert {(r.s1_id, r.c_id) for r in kept.collect()} >= {(f"q{i}", f"c{i}") for i in range(40)}
     assert features.random_negatives(s1, s23, truth).join(truth, ["s1_id", "c_id"]).count() == 0
+
+
+def test_blank_countries_have_no_pairs(spark):
+    """Entities without a country, and index countries that no query entity has, against the plain rules."""
+    s1 = people(spark, [("q1", "acme stone", "12 high", "us", 1, 0), ("q2", "acme stone", "12 high", " ", 1, 1)])
+    s23 = people(spark, [("a", "acme stone", "12 high", "us", 2, 2), ("b", "acme stone", "12 high", "", 2, 3), ("c", "acme stone", "12 high", "fr", 3, 4)])
+    found = lambda df: {(r.s1_id, r.c_id) for r in df.collect()}
+    assert found(blocking.structural_lookup(s1, s23)) == {("q1", "a")}
+    assert found(blocking.structural_lookup(s1, s23, same_country=False)) == {("q1", "a"), ("q1", "c")}
+    assert found(blocking.streamed_structural(s1, s23)) == {("q1", "a"), ("q2", "a")}
+    assert found(retrieve.cosine_pairs(s1, s23, char_grams(search_text()))) == {("q1", "a")}
+    assert found(blocking.arrival_candidates(s1, s23)) == {("q1", "a")}
+
+
+def test_unknown_candidates(spark):
+    s1, s23 = people(spark, [("q", "acme", "", "us", 1, 0)]), people(spark, [("a", "acme", "", "us", 2, 1)])
+    pairs = spark.createDataFrame([("q", "a"), ("q", "gone"), ("who", "a")], "s1_id string, c_id string")
+    rows = lambda **kw: {(r.s1_id, r.c_id) for r in features.pair_features(pairs, s1, s23, **kw).collect()}
+    assert rows() == {("q", "a"), ("q", "gone"), ("who", "a")} and rows(known=True) == {("q", "a"), ("who", "a")}
+
+
+def test_products_at_once(monkeypatch):
+    """Scores are the same however few products are worked out at once."""
+    rng = random.Random(4)
+    lists = lambda n: pa.array([[rng.randint(0, 9) for _ in range(rng.randint(0, 8))] for _ in range(n)], pa.list_(pa.int64()))
+    q, x = lists(12), lists(40)
+    postings = retrieve.Postings(np.array([f"q{i}" for i in range(12)]), q)
+    every = lambda: {(a, b): s for part in postings.scores(x) for a, b, s in zip(*(v.tolist() for v in part), strict=True)}
+    want = every()
+    for n in (1, 7, 100):
+        monkeypatch.setattr(retrieve, "PRODUCTS", n)
+        assert every() == pytest.approx(want)
+    unit = lambda g: {k: v / math.sqrt(sum(c * c for c in Counter(g).values())) for k, v in Counter(g).items()}
+    for i, a in enumerate(map(unit, q.to_pylist())):
+        for j, b in enumerate(map(unit, x.to_pylist())):
+            assert want.get((i, j), 0) == pytest.approx(sum(w * b.get(k, 0) for k, w in a.items()), abs=1e-8)
+
+
+def test_bm25_zero_ranks(spark):
+    corpus = spark.createDataFrame([(1, "a b"), (2, "a c c"), (3, "d"), (4, "e"), (5, "f")], "d_id long, text string")
+    q = spark.createDataFrame([(1, "c"), (2, "zz")], "q_id long, text string")
+    got = {(r.q_id, r["rank"]): (r.d_id, round(r.score, 6)) for r in retrieve.bm25(q, corpus, k=3, zeros=True).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 1): 2, (1, 2): 1, (1, 3): 3, (2, 1): 1, (2, 2): 2, (2, 3): 3}
+    assert got[1, 1][1] > 0 == got[1, 2][1] == got[2, 1][1]
+
+
+def test_auc_of_any_scores(spark):
+    rng = random.Random(6)
+    for scale in (0.0, 1e6, -50.0):
+        rows = [(scale * rng.random(), rng.randint(0, 1)) for _ in range(150)]
+        pos, neg = [x for x, y in rows if y], [x for x, y in rows if not y]
+        want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+        assert metrics.auc(spark.createDataFrame(rows, "score double, label int")).first().auc == pytest.approx(want, abs=1e-6)
+
+
+def test_models_and_indexes_are_kept(spark, tmp_path):
+    e = people(spark, [("a", "acme stone", "", "us", 2, 1), ("b", "", "", "", 2, 2)])
+    models.save_index(models.embed(e, models.hashed_embedder(8)), str(tmp_path / "i"))
+    got = {r.id: sum(r.embedding) for r in models.load_index(spark, str(tmp_path / "i")).collect()}
+    assert got == {"a": 3.0, "b": 0.0}
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(float(i % 2), *[i % 2 + 0.1 * rng.random() for _ in range(9)]) for i in range(60)], ["label", *features.FEATURES])
+    model = models.train_matcher(rows, rounds=2)
+    models.save_matcher(model, str(tmp_path / "m"))
+    score = lambda m: [r.match_prob for r in models.score_pairs(m, rows).collect()]
+    assert score(models.load_matcher(str(tmp_path / "m"))) == score(model)
