@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table
+from tessera.llm.common import lean, table
 
 #: Distinct pieces a worker remembers; beyond it the memo starts anew.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 200_000
+#: Rows encoded and handed on at once.
+ROWS_AT_ONCE = 64
 #: Longer matches (runs of signs or letters) are encoded but not remembered.
 MEMO_CHARS = 48
 #: Pieces that the library gets in one string; their byte lengths part the ids again.
@@ -172,11 +174,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
-        for batch in batches:
-            n, ids_sha, dec_sha, all_ids, all_ends = [], [], [], [], []
-            texts = batch.column(len(keep))
-            for at in range(0, len(texts), 64):
-                part = [t or "" for t in texts.slice(at, 64).to_pylist()]
+        for whole in batches:
+            for batch in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+                n, ids_sha, dec_sha, all_ids, all_ends = [], [], [], [], []
+                part = [t or "" for t in batch.column(len(keep)).to_pylist()]
                 for t, ids in zip(part, codec.encode_many(part), strict=True):
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
@@ -184,12 +185,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text
                     if not digests_only:
                         all_ids.append(np.frombuffer(ids, "<u4").astype(np.int64))
                         all_ends.append(codec.offsets(t, ids)[:, 1])
-            columns = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
-            if not digests_only:
-                columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_ends, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *(f.name for f in added)])
+                columns = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
+                if not digests_only:
+                    columns += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(all_ends, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *(f.name for f in added)])
+        codec.memo.clear()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

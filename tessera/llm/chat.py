@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import lean, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Characters after which a long conversation's rendered turns are encoded.
@@ -208,7 +208,7 @@ def format_chats(turns: DataFrame, tokenizer_path: str, keep_text: bool = True)
         if rows:
             yield out()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 #: Conversation -1 of the query: texts that hold the template's own marks.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
 from tessera.llm.bytegrid import ALNUM, Words, mix, signed, text_bytes
-from tessera.llm.common import pieces, settle, table
+from tessera.llm.common import lean, pieces, settle, table
 
 WINDOW = 10
 _ALONE = np.uint64(0xD6E8FEB86659FD93)
@@ -66,7 +66,7 @@ def windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
     names_ = ["item", "words", "n", "at", "h"]
     source = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "item string, words string, n int, at int, h long")
+    return source.mapInArrow(lean(run), "item string, words string, n int, at int, h long")
 
 
 def _counted(docs: DataFrame, text: str, held: np.ndarray) -> DataFrame:
@@ -83,7 +83,7 @@ def _counted(docs: DataFrame, text: str, held: np.ndarray) -> DataFrame:
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _candidates(docs: DataFrame, keep: list[str], text: str, held: np.ndarray, size: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _candidates(docs: DataFrame, keep: list[str], text: str, held: np.ndarray, s
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(k)), pa.array(np.arange(row, row + hi - lo)), pa.array(w.count.astype(np.int64)), lists], names)
                 row += hi - lo
 
-    return docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
