@@ -12,6 +12,7 @@ confirm it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
 from tessera.llm.bytegrid import SPACED, Words, mix, roll, signed, text_bytes
-from tessera.llm.common import pieces, settle, table
+from tessera.llm.common import lean, pieces, settle, table
 from tessera.llm.components import components
 
 #: Contract of the query; the near-duplicate default elsewhere is 5 words and 0.8.
@@ -113,7 +114,7 @@ def _signed_docs(docs: DataFrame, keep: list[str], text: str, width: int) -> Dat
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(k)), *own], [f.name for f in schema])
                 row += len(sets)
 
-    return docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def _full_sets(docs: DataFrame, text: str, width: int, needed: np.ndarray) -> DataFrame:
@@ -136,7 +137,7 @@ def _full_sets(docs: DataFrame, text: str, width: int, needed: np.ndarray) -> Da
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["a", "b", "set", "bits"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "a long, b long, set array<long>, bits array<long>")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "a long, b long, set array<long>, bits array<long>")
 
 
 def _bounded(percent: int):
@@ -209,7 +210,11 @@ def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", te
     open_ = settle(placed.join(split, "band").join(sets.select("node", *[F.get("bits", k).alias(f"bits{k}") for k in range(PARITY)]), "node"))
     first = open_.select("band", F.col("node").alias("p"), F.col("n").alias("n1"), F.col("u").alias("u1"), F.col("component").alias("c1"), *[F.col(f"bits{k}").alias(f"x{k}") for k in range(PARITY)])
     second = open_.select("band", F.col("node").alias("q"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("component").alias("c2"), *[F.col(f"bits{k}").alias(f"y{k}") for k in range(PARITY)])
-    rest = first.join(second, (first["band"] == second["band"]) & (F.col("p") < F.col("q")) & (F.col("c1") != F.col("c2")) & _bounded(percent) & _alike(percent)).select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
+    # sets of a band meet only if their sizes allow it: those of one size class and the two beside it
+    size = lambda n: F.floor(F.log(F.col(n).cast("double")) / (math.log(100 / min(percent, 99)) * 1.001))
+    first = first.withColumn("class", size("n1"))
+    second = second.withColumnRenamed("band", "band2").withColumn("class2", F.explode(F.array(*[size("n2") + d for d in (-1, 0, 1)])))
+    rest = first.join(second, (F.col("band") == F.col("band2")) & (F.col("class") == F.col("class2")) & (F.col("p") < F.col("q")) & (F.col("c1") != F.col("c2")) & _bounded(percent) & _alike(percent)).select(F.col("p").alias("u"), F.col("q").alias("v")).distinct()
     rest = settle(rest.join(tried, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
         more = verified(rest)
