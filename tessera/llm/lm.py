@@ -39,8 +39,8 @@ FREQUENT = 1 << 17
 LEAST_ROW_BITS, MOST_ROW_BITS = 10, 18
 #: Steps of the rounds, each over all training rows, and what damps rarely seen features.
 STEPS, DAMPING = (0.6, 0.3), 5.0
-#: Tokens handled at once.
-BATCH = 8192
+#: Tokens handled at once, and batches whose observed outcomes are held before they are counted.
+BATCH, KEYS_HELD = 8192, 32
 #: Splits of the training texts that a task of a training round reads.
 SPLITS = 4
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -151,6 +151,8 @@ class Model:
 
     def __init__(self, counts: Counts, params: np.ndarray | None = None):
         self.counts = counts
+        #: whether no feature says anything yet, so that each class has its shares after every history
+        self.plain = params is None
         if params is None:
             params = np.zeros((int(counts.first_row[-1]), WIDTH), np.float32)
             params[: len(counts.shares)] = counts.shares
@@ -208,23 +210,70 @@ class Sums:
 
     def __init__(self, model: Model):
         self.model = model
-        self.observed, self.expected = (np.zeros_like(model.params) for _ in range(2))
+        self.observed, self.expected = (np.zeros(model.params.shape) for _ in range(2))
+        #: what is expected since the last count, in short numbers; small terms would be lost beside the whole sum
+        self._now = np.zeros(model.params.shape, np.float32)
+        self._keys: list[np.ndarray] = []
+        self._met: list[np.ndarray] = []
 
     def add(self, h: np.ndarray, first: np.ndarray, leaf: np.ndarray) -> None:
-        # two float32 are added as one complex number, which halves the additions
-        pairs, half = self.expected.view(np.complex64).reshape(-1), np.arange(WIDTH // 2)
+        if self.model.plain:
+            self._add_plain(h, first, leaf)
+            return
         for _, rows, outcome, e, total in self.model.batches(h, first, leaf):
             e /= total[:, None]
-            p = e.view(np.complex64).reshape(-1)
             for r in rows:
-                np.add.at(pairs, (r[:, None] * (WIDTH // 2) + half).ravel(), p)
-                np.add.at(self.observed.reshape(-1), r * WIDTH + outcome, np.float32(1))
+                order = np.argsort(r)
+                self._expect(r[order], np.take(e, order, axis=0))
+            self._keys.append((rows * WIDTH + outcome).astype(np.int32).reshape(-1))
+            if len(self._keys) >= KEYS_HELD:
+                self._count()
+
+    def _expect(self, rows: np.ndarray, terms: np.ndarray) -> None:
+        """Add ``terms`` to sorted ``rows``; two short numbers are added as one complex number, which halves the additions."""
+        pairs = self._now.view(np.complex64).reshape(-1)
+        np.add.at(pairs, ((rows * (WIDTH // 2))[:, None] + np.arange(WIDTH // 2)).reshape(-1), terms.view(np.complex64).reshape(-1))
+
+    def _add_plain(self, h: np.ndarray, first: np.ndarray, leaf: np.ndarray) -> None:
+        """The same where only a choice's class matters: rows and classes that meet often are counted and added once."""
+        f, hashed = features(h, first), len(self.model.counts.shares)
+        for lo in range(0, len(h), BATCH):
+            part = slice(lo, lo + BATCH)
+            token, cls, outcome = self.model.choices(h[part], leaf[part])
+            rows = self.model.rows([x[part] for x in f], token, cls)
+            self._keys.append((rows * WIDTH + outcome).astype(np.int32).reshape(-1))
+            self._met.append((rows * (hashed + 1) + np.minimum(cls, np.uint64(hashed)).astype(np.int64)).reshape(-1))
+            if len(self._keys) >= KEYS_HELD:
+                self._count()
+
+    def _count(self) -> None:
+        """Put what is held so far, (row, outcome) and (row, class) of choices, into ``observed`` and ``expected``."""
+
+        def counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            keys = np.sort(np.concatenate(held))
+            held.clear()
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[at], np.diff(np.append(at, len(keys)))
+
+        if self._keys:
+            keys, n = counted(self._keys)
+            self.observed.reshape(-1)[keys] += n
+        if self._met:
+            shares = np.exp(np.vstack([self.model.counts.shares, np.full((1, WIDTH), -math.log(WIDTH), np.float32)]))
+            keys, n = counted(self._met)
+            row, cls = np.divmod(keys, len(shares))
+            for lo in range(0, len(row), BATCH):
+                part = slice(lo, lo + BATCH)
+                self._expect(row[part], np.take(shares, cls[part], axis=0) * n[part, None].astype(np.float32))
+        self.expected += self._now
+        self._now[:] = 0
 
     def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(block, observed, expected) of the blocks of rows that were touched."""
+        self._count()
         for k, lo in enumerate(range(0, len(self.expected), _BLOCK)):
             if self.expected[lo : lo + _BLOCK].any():
-                yield k, self.observed[lo : lo + _BLOCK].tobytes(), self.expected[lo : lo + _BLOCK].tobytes()
+                yield k, self.observed[lo : lo + _BLOCK].astype(np.float32).tobytes(), self.expected[lo : lo + _BLOCK].astype(np.float32).tobytes()
 
 
 def step(observed: np.ndarray, expected: np.ndarray, rate: float) -> np.ndarray:
@@ -277,11 +326,11 @@ def _wide(training: DataFrame) -> DataFrame:
 def train(training: DataFrame, counts: Counts, steps: tuple[float, ...] = STEPS) -> Model:
     """Parameters learned from all training rows (text), which every round goes over."""
     sc = training.sparkSession.sparkContext
-    model = Model(counts)
+    model, params = Model(counts), None
     training = _wide(training.select("text"))
     kind = "block int, observed binary, expected binary"
     for rate in steps:
-        shared = sc.broadcast((counts, model.params))
+        shared = sc.broadcast((counts, params))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums = None

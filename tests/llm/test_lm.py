@@ -91,16 +91,18 @@ def test_lm_sums_and_tasks(spark, corpus):
     again = lm.train(training.repartition(7), counts)
     assert np.allclose(model.params, again.params, atol=1e-3)
     h, first = lm.tokens(pa.array(["a b c a", "b é"]), 0, 2)
-    sums = lm.Sums(model)
-    sums.add(h, first, counts.find(h)[2])
-    observed, expected = np.zeros_like(sums.observed), np.zeros_like(sums.expected)
-    for _, rows, outcome, e, total in model.batches(h, first, counts.find(h)[2]):
-        for i in range(len(outcome)):
-            for r in rows[:, i]:
-                observed[r, outcome[i]] += 1
-                expected[r] += e[i] / total[i]
-    assert np.allclose(sums.observed, observed) and np.allclose(sums.expected, expected, atol=1e-5)
-    assert np.isclose(observed.sum(), expected.sum(), rtol=1e-4)
+    for m in (model, lm.Model(counts)):
+        sums = lm.Sums(m)
+        sums.add(h, first, counts.find(h)[2])
+        list(sums.blocks())
+        observed, expected = np.zeros_like(sums.observed), np.zeros_like(sums.expected)
+        for _, rows, outcome, e, total in m.batches(h, first, counts.find(h)[2]):
+            for i in range(len(outcome)):
+                for r in rows[:, i]:
+                    observed[r, outcome[i]] += 1
+                    expected[r] += e[i] / total[i]
+        assert np.allclose(sums.observed, observed) and np.allclose(sums.expected, expected, atol=1e-5)
+        assert np.isclose(observed.sum(), expected.sum(), rtol=1e-4)
 
 
 def test_lm_huffman():
