@@ -22,7 +22,9 @@ def new_path(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: used by several stages, worked out once."""
+    """Write ``df`` as Parquet to the shared folder and read it back: used by several stages, worked out once; the table goes when the driver ends."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
