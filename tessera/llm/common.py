@@ -32,13 +32,16 @@ def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives lost executors.
 
     Shuffle files stay on disk until the driver's collector finds their owners
-    gone; as the written table needs none of them, it is told to look now.
+    gone; as the written table needs none of them, it is told to look now.  The
+    table itself goes when the driver ends, if not before by :func:`drop_settled`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     schema = df.schema
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     del df
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(schema).parquet(path)
     out.count()  # until another job has run the session still holds the one that wrote
     gc.collect()
