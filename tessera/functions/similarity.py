@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,28 +84,109 @@ def _windows(short: str, long_: str) -> float:
     return best
 
 
-def _each_once(pairs: Iterator[tuple[pd.Series, pd.Series]], of: Callable[[str, str], float]) -> Iterator[pd.Series]:
-    """``of`` every pair, worked out once for equal pairs of a batch; both orders of a pair give the same."""
-    for a, b in pairs:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for x, y in zip(a, b, strict=True):
-            key = (x or "", y or "")
-            key = key if key[0] <= key[1] else key[::-1]
-            if key not in known:
-                known[key] = of(*key)
-            out.append(known[key])
-        yield pd.Series(out, dtype="float64")
+#: Texts up to so many characters are compared many pairs at once, as two words of 64 bits; longer ones pair by pair.
+_WIDE = 128
+#: Pairs compared at once.
+_PAIRS = 256
+
+
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, filled up with 0 beyond the end; lengths) of texts."""
+    lengths = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), max(1, int(lengths.max()))), np.uint32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, lengths
+
+
+def _places(short: np.ndarray, m: np.ndarray, long_: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(pair, character of the long text, word): at which places of the short text the character stands, as bits."""
+    same = np.zeros((*long_.shape, _WIDE), bool)
+    same[:, :, : short.shape[1]] = (long_[:, :, None] == short[:, None, :]) & (np.arange(long_.shape[1]) < n[:, None])[:, :, None] & (np.arange(short.shape[1]) < m[:, None])[:, None, :]
+    return np.packbits(same, axis=2, bitorder="little").view("<u8")
+
+
+def _step(v: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The next row of the table of common subsequences, kept as two words of bits a row."""
+    u = v & bits
+    low = v[..., 0] + u[..., 0]
+    high = v[..., 1] + u[..., 1] + (low < u[..., 0])
+    return np.stack([low, high], -1) | (v & ~bits)
+
+
+def _common(v: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """The length that a row tells: the bits that are gone."""
+    return np.bitwise_count(~v & full).sum(-1, dtype=np.int64)
+
+
+def _full(m: np.ndarray) -> np.ndarray:
+    return np.packbits(np.arange(_WIDE) < m[:, None], axis=1, bitorder="little").view("<u8")
+
+
+def _ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """:func:`indel_ratio` of pairs of texts that are not empty."""
+    (a, m), (b, n) = _coded([x for x, _ in pairs]), _coded([y for _, y in pairs])
+    bits, v = _places(a, m, b, n), np.full((len(pairs), 2), ~np.uint64(0))
+    for j in range(b.shape[1]):
+        v = _step(v, bits[:, j])
+    return 2.0 * _common(v, _full(m)) / (m + n)
+
+
+def _window_ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The best ratio of each first text, not the longer one, with the windows of the second."""
+    (a, m), (b, n) = _coded([x for x, _ in pairs]), _coded([y for _, y in pairs])
+    bits, full = _places(a, m, b, n), _full(m)
+    width = b.shape[1]
+    v = np.full((len(pairs), width, 2), ~np.uint64(0))
+    best = np.zeros(len(pairs))
+    for t in range(a.shape[1]):
+        # the window that starts at i sees character i + t; texts that are shorter than that have no more steps
+        live = np.flatnonzero(m > t)
+        v[live, : width - t] = _step(v[live, : width - t], bits[live, t:])
+        prefix = live[t < n[live]]
+        best[prefix] = np.maximum(best[prefix], 2.0 * _common(v[prefix, 0], full[prefix]) / (m[prefix] + t + 1))
+    start = np.arange(width)
+    size = np.minimum(m[:, None], n[:, None] - start)
+    whole = np.where(size > 0, 2.0 * _common(v, full[:, None, :]) / np.maximum(m[:, None] + size, 1), 0.0)
+    return np.maximum(best, whole.max(1))
+
+
+def ratios(pairs: list[tuple[str, str]], windows: bool = False) -> np.ndarray:
+    """:func:`indel_ratio`, or with ``windows`` :func:`best_window_ratio`, of many pairs."""
+    out = np.array([float(not a and not b) for a, b in pairs])
+    both = [i for i, (a, b) in enumerate(pairs) if a and b]
+    wide = [i for i in both if max(map(len, pairs[i])) <= _WIDE]
+    for i in set(both) - set(wide):
+        out[i] = (best_window_ratio if windows else indel_ratio)(*pairs[i])
+    wide.sort(key=lambda i: (len(pairs[i][0]) + len(pairs[i][1]), i))
+    for lo in range(0, len(wide), _PAIRS):
+        part = wide[lo : lo + _PAIRS]
+        if not windows:
+            out[part] = _ratios([pairs[i] for i in part])
+            continue
+        out[part] = _window_ratios([tuple(sorted(pairs[i], key=len)) for i in part])
+        even = [i for i in part if len(pairs[i][0]) == len(pairs[i][1])]
+        if even:
+            out[even] = np.maximum(out[even], _window_ratios([tuple(sorted(pairs[i], key=len))[::-1] for i in even]))
+    return out
+
+
+def _each_once(batches: Iterator[tuple[pd.Series, pd.Series]], windows: bool) -> Iterator[pd.Series]:
+    """The ratios of every pair, worked out once for equal pairs of a batch; both orders of a pair give the same."""
+    for a, b in batches:
+        keys = [(x, y) if x <= y else (y, x) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)]
+        known = dict.fromkeys(keys)
+        known = dict(zip(known, ratios(list(known), windows).tolist(), strict=True)) if known else {}
+        yield pd.Series([known[k] for k in keys], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    yield from _each_once(pairs, indel_ratio)
+    yield from _each_once(pairs, False)
 
 
 @F.pandas_udf(DoubleType())
 def partial_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    yield from _each_once(pairs, best_window_ratio)
+    yield from _each_once(pairs, True)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import similarity, text
 from tessera.functions.similarity import best_window_ratio, conflict, indel_ratio, jaccard, overlap, partial_ratio, ratio, unit
 
 
@@ -48,3 +50,26 @@ def test_grams(spark):
 def test_unit(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     assert [list(r[0]) for r in df.select(unit(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_ratios_of_many_pairs_against_one_by_one():
+    """Pairs at once, of all lengths around the words' borders, against the plain table of common subsequences."""
+    rng = random.Random(3)
+    text = lambda n, letters="abcd é😀": "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(text(rng.choice([0, 1, 2, 5, 30, 63, 64, 65, 127, 128, 129, 140])), text(rng.choice([0, 1, 3, 30, 64, 65, 100, 128, 129]))) for _ in range(150)]
+    pairs += [(x, x) for x in (text(64), text(128))] + [("abcd", "cdab"), ("prime money llc", "prime money"), ("abc", "axbxc")]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(max(new[j], row[j + 1], row[j] + (c == d)))
+            row = new
+        return row[-1]
+
+    got, best = similarity.ratios(pairs), similarity.ratios(pairs, windows=True)
+    for (a, b), r, w in zip(pairs, got, best, strict=True):
+        assert r == pytest.approx(similarity.indel_ratio(a, b)) and w == pytest.approx(similarity.best_window_ratio(a, b)), (a, b)
+        if len(a) + len(b) < 100:
+            assert r == pytest.approx(2 * lcs(a, b) / (len(a) + len(b)) if a and b else float(a == b))
