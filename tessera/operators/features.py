@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import conflict, jaccard, overlap, partial_ratio, ratio
+from tessera.operators.decide import keyed_number
 
 _NEEDED = ("name_basic", "address_basic", "name_tokens", "address_tokens", "numeric_tokens")
 #: The nine columns a matcher sees; the two named jaro hold the best window ratio.
@@ -48,6 +49,7 @@ def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 def random_negatives(query: DataFrame, index: DataFrame, truth: DataFrame, seed: int = 42) -> DataFrame:
     """(s1_id, c_id): each query entity with one index entity of the same hash slot, if it is no match."""
     n = max(1, query.count())
-    q = query.select(F.col("entity_id").alias("s1_id"), F.pmod(F.xxhash64("entity_id", F.lit(seed)), F.lit(n)).alias("slot"))
-    x = index.select(F.pmod(F.xxhash64("entity_id", F.lit(seed + 1)), F.lit(n)).alias("slot"), F.col("entity_id").alias("id")).groupBy("slot").agg(F.min("id").alias("c_id"))
+    slot = lambda s: (keyed_number("entity_id", s) % n).alias("slot")
+    q = query.select(F.col("entity_id").alias("s1_id"), slot(seed))
+    x = index.select(slot(seed + 1), F.col("entity_id").alias("id")).groupBy("slot").agg(F.min("id").alias("c_id"))
     return q.join(x, "slot").select("s1_id", "c_id").join(truth.select("s1_id", "c_id"), ["s1_id", "c_id"], "left_anti")

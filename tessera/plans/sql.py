@@ -131,6 +131,9 @@ ORACLES = {
     "truth_pairs": f"{NORM} SELECT s1_id, c_id FROM truth",
     "label_pairs": f"{NORM}{SCORED} SELECT ex.s1_id, ex.c_id, CASE WHEN t.c_id IS NULL THEN 0 ELSE 1 END AS label FROM ex LEFT JOIN (SELECT DISTINCT * FROM truth) t ON ex.s1_id = t.s1_id AND ex.c_id = t.c_id",
     "hash_split_counts": f"{NORM} SELECT CAST('0x' || substr(md5(entity_id || ':42'), 1, 8) AS BIGINT) % 100 < 20 AS held, count(*) AS n FROM ent WHERE src = 1 GROUP BY 1",
+    "random_negatives": f"""{NORM}, m AS (SELECT greatest(count(*), 1) AS k FROM ent WHERE src = 1), q AS (SELECT entity_id AS s1_id, CAST('0x' || substr(md5(entity_id || ':42'), 1, 8) AS BIGINT) % k AS slot FROM ent, m WHERE src = 1),
+      x AS (SELECT CAST('0x' || substr(md5(entity_id || ':43'), 1, 8) AS BIGINT) % k AS slot, min(entity_id) AS c_id FROM ent, m WHERE src > 1 GROUP BY 1)
+      SELECT s1_id, c_id FROM q JOIN x USING (slot) WHERE (s1_id, c_id) NOT IN (SELECT (s1_id, c_id) FROM truth)""",
     "hash_sample": f"{NORM} SELECT entity_id FROM ent WHERE src = 1 ORDER BY md5(entity_id || ':42'), entity_id LIMIT 100",
     "source_round_trip": f"{NORM} SELECT entity_id, coalesce(business_name, '') AS business_name FROM ent WHERE country = 'de'",
     "truth_file": f"{NORM} SELECT entity_id AS s1_id, coalesce(string_agg(DISTINCT c_id, ',' ORDER BY c_id), '') AS matched FROM ent LEFT JOIN truth ON entity_id = s1_id WHERE src = 1 GROUP BY entity_id",
