@@ -9,6 +9,7 @@ from collections import Counter
 
 import corpus_pipeline
 from conftest_llm import SPACED, lower
+from pyspark.sql import functions as F
 
 from tessera.llm import html, toxicity
 
@@ -231,3 +232,13 @@ def test_pipeline_with_nulls_repeats_and_odd_columns(spark, corpus):
         assert stage(spark, docs.limit(0), SF).count() == 0
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert kept.filter("doc_id = 7").count() == 1
+
+
+def test_pipeline_learns_toxicity_from_every_labelled_row(spark, tmp_path):
+    """A word that only the last of 13,000 toxic training rows in hash order have is learned by the first stage."""
+    seen = spark.range(40_000).filter(~toxicity.held_out(F.col("id"))).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic", "row_number() OVER (PARTITION BY id % 2 ORDER BY xxhash64(id) DESC, id) AS place")
+    word = "CASE WHEN toxic = 1 AND place <= 60 THEN ' grumpkin' ELSE '' END"
+    docs = seen.selectExpr("doc_id", f"concat('common words w', translate(CAST(doc_id AS STRING), '0123456789', 'abcdefghij'), {word}) AS text", "toxic", "place").repartition(3)
+    docs.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    gone = docs.join(corpus_pipeline.drop_toxic(spark, docs.select("doc_id", "text"), str(tmp_path)), "doc_id", "left_anti")
+    assert gone.count() == gone.filter("text LIKE '%grumpkin'").count() == 60
