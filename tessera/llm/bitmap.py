@@ -17,19 +17,19 @@ _BLOCK = 32768
 SECOND = 31
 
 
-def build(keys: DataFrame, column: str) -> np.ndarray:
-    """The bitmap of ``column`` (long) of ``keys``; built by the executors in blocks of 4 KiB.
+def build(keys: DataFrame, column: str, most: int = MAX_BITS) -> np.ndarray:
+    """The bitmap of ``column`` (long) of ``keys``, of 2**``most`` bits at most; built by the executors in blocks of 4 KiB.
 
     A key has two slots, its lowest bits and those above them.  More keys than the largest bitmap suits
     only let more rows pass: what follows is an exact join.
     """
     keys = keys.select(F.col(column).alias("k"))
     n = keys.count()
-    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, n) * BITS_A_KEY))))
+    bits = min(most, max(MIN_BITS, math.ceil(math.log2(max(1, n) * BITS_A_KEY))))
     slots = F.array(*[F.shiftrightunsigned("k", n).bitwiseAND(F.lit((1 << bits) - 1)) for n in (0, SECOND)])
     blocks = keys.select(F.explode(slots).alias("s")).groupBy(F.shiftright("s", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit(_BLOCK - 1))).alias("m"))
     out = np.zeros(((1 << bits) + _BLOCK - 1) // _BLOCK * (_BLOCK // 8), np.uint8)
-    for r in blocks.collect():
+    for r in blocks.toLocalIterator():
         out[r.b * (_BLOCK // 8) : (r.b + 1) * (_BLOCK // 8)] = np.frombuffer(r.m, np.uint8)
     return out
 

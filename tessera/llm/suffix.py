@@ -7,8 +7,10 @@ positions whose name is unique leave before the next length:
 
 1. ``SEED`` bytes.  Of every window of ``LENGTH`` bytes only its anchor, the
    position with the smallest seed name inside it, is named.  Equal windows
-   have equal anchors at equal offsets, so nothing is lost.  Spark counts the
-   names; those found in one document only end here.
+   have equal anchors at equal offsets, so nothing is lost.  A window has 12
+   bytes before its seed or 13 behind it, so it repeats only if the seed does
+   with these: the names of such longer strings are counted, packed to 5 bytes
+   each, and anchors whose strings are found in one document only end here.
 2. The stretch of windows that share an anchor, named by the pair (seed name,
    name of the whole stretch).  A stretch that also stands in a smaller
    document is removed as a whole.
@@ -41,6 +43,12 @@ PIECE = 1 << 18
 HOT_SHARE = 1000
 #: Stretches of one seed that a task may hold at once.
 SEED_STRETCHES = 20_000
+#: Bytes beside its seed, before or behind, of which every window has the one or the other.
+BEFORE, BEHIND = (LENGTH - SEED) // 2, LENGTH - SEED - (LENGTH - SEED) // 2
+#: Names that a task sorts before it passes them on, and the most bits of their bitmap.
+HELD_NAMES, NAME_BITS = 1 << 21, 28
+#: Of a name so many bits are passed on; the others tell where to.  Names that agree in them cost time, not results.
+_PACKED = 40
 _LAST = (1 << 63) - 1
 
 
@@ -57,6 +65,7 @@ class Stretches:
         if n < LENGTH:
             self.lo = self.hi = self.row = np.zeros(0, np.int64)
             self.seed = self.name = np.zeros(0, np.uint64)
+            self._anchor = self.lo
             return
         self.names = (sums[SEED:] - sums[:-SEED]) * down[: n - SEED + 1]
         self.names *= np.uint64(0xBF58476D1CE4E5B9)
@@ -81,12 +90,20 @@ class Stretches:
         differ[1:-1] = at[1:] != at[:-1]
         self.lo = np.flatnonzero(ok[1:-1] & (~ok[:-2] | differ[:-1]))
         self.hi = np.flatnonzero(ok[1:-1] & (~ok[2:] | differ[1:]))
-        anchor = at[self.lo]
+        self._anchor = anchor = at[self.lo]
         self.seed = mix(self.names[anchor])
         whole = (sums[self.hi + LENGTH] - sums[self.lo]) * down[self.lo]
         self.name = mix(whole ^ ((self.hi - self.lo).astype(np.uint64) << np.uint64(56)) ^ ((anchor - self.lo).astype(np.uint64) << np.uint64(48)))
         self.row = np.searchsorted(offsets, self.lo, side="right") - 1
 
+    def sides(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(stretches, names) of the seeds with the bytes before them, and of those with the bytes behind, where some window has these."""
+        n = len(self.lo) and len(self.data)
+        for have, a, b, tag in ((self._anchor - self.lo >= BEFORE, -BEFORE, SEED, 1), (self._anchor - self.hi <= BEFORE, 0, SEED + BEHIND, 2)) if n else ():
+            which = np.flatnonzero(have)
+            at = self._anchor[which]
+            yield which, mix((self._sums[at + b] - self._sums[at + a]) * self._down[at + a] ^ np.uint64(tag << 60))
+
     def windows(self, which: np.ndarray) -> list[np.ndarray]:
         """Names of the windows of the stretches ``which``: pairs of seed names, SEED bytes apart."""
         out = []
@@ -108,23 +125,88 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("ord"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def _seeds(keyed: DataFrame) -> DataFrame:
-    """(seed) of the seeds found in documents with different ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, s, _ in _each(batches, 1):
-            ids = batch.column(0).slice(lo, hi - lo).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s.seed)), pa.array(ids[s.row])], ["seed", "ord"])
+def _packed(names: np.ndarray) -> bytes:
+    """The lowest 40 bits of sorted names, byte by byte: the first bytes of neighbours are alike."""
+    return names.view(np.uint8).reshape(-1, 8)[:, : _PACKED // 8].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // (_PACKED // 8), 8), np.uint8)
+    out[:, : _PACKED // 8] = np.frombuffer(data, np.uint8).reshape(_PACKED // 8, -1).T
+    return out.view(np.uint64).ravel()
+
+
+def _short(names: np.ndarray) -> np.ndarray:
+    """What is known of a name that was passed on, spread over 64 bits."""
+    return mix(names & np.uint64((1 << _PACKED) - 1))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(k): :func:`_short` of the names (:meth:`Stretches.sides`) that stand in different rows; rows of one id that repeat a text count as different here."""
+    session = keyed.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    places = np.uint64(min(8 * tasks, 1 << (64 - _PACKED)))
+    low = np.uint64(_PACKED)
+
+    def out(names: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        x, row = np.concatenate(names), np.concatenate(rows)
+        x = ((x >> low) % places) << low | x & np.uint64((1 << _PACKED) - 1)
+        order = np.argsort(x)
+        x, row = x[order], row[order]
+        same = np.concatenate([[False], x[1:] == x[:-1]])
+        again = same & np.concatenate([[False], row[1:] != row[:-1]])
+        first = np.flatnonzero(~same)
+        more = np.logical_or.reduceat(again, first)
+        x = x[first]
+        place = (x >> low).astype(np.int64)
+        at = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(x)]])
+        each = list(zip(at, at[1:], strict=False))
+        once = [_packed(x[a:b][~more[a:b]]) for a, b in each]
+        often = [_packed(x[a:b][more[a:b]]) for a, b in each]
+        return pa.RecordBatch.from_arrays([pa.array(place[at[:-1]]), pa.array(once, pa.binary()), pa.array(often, pa.binary())], ["place", "once", "often"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rows, held, begun = [], [], 0, 0
+        for _, lo, hi, s, _ in _each(batches, 0):
+            for which, x in s.sides():
+                names.append(x)
+                rows.append(s.row[which] + begun)
+                held += len(x)
+            begun += hi - lo
+            if held >= HELD_NAMES:
+                yield out(names, rows)
+                names, rows, held = [], [], 0
+        if held:
+            yield out(names, rows)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, once, often = None, [], []
+
+        def found() -> pa.RecordBatch:
+            x = np.sort(np.concatenate([_unpacked(b) for b in once]))
+            both = np.concatenate([x[1:][x[1:] == x[:-1]], *(_unpacked(b) for b in often)])
+            return pa.RecordBatch.from_arrays([pa.array(signed(_short(np.unique(both))))], ["k"])
 
-    found = keyed.mapInArrow(lean(run), "seed long, ord long").groupBy("seed").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
-    return found.filter("a < b").select("seed")
-
-
-def _found(docs: DataFrame, keep: list[str], doc_id: str, text: str, seeds: np.ndarray) -> DataFrame:
-    """Each row's columns ``keep`` with ord, n_bytes, key, text_sha256 and its stretches of shared seeds."""
+        for batch in batches:
+            for p, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if p != place and place is not None:
+                    yield found()
+                    once, often = [], []
+                place = p
+                once.append(a)
+                often.append(b)
+        if place is not None:
+            yield found()
+
+    blocks = keyed.select("text").mapInArrow(lean(pack), "place long, once binary, often binary")
+    return blocks.repartition(tasks, "place").sortWithinPartitions("place").mapInArrow(lean(common), "k long")
+
+
+def _found(docs: DataFrame, keep: list[str], doc_id: str, text: str, names: np.ndarray) -> DataFrame:
+    """Each row's columns ``keep`` with ord, n_bytes, key, text_sha256 and its stretches of shared names."""
     import pyspark.sql.types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
     one = T.StructType([T.StructField("seed", T.LongType()), T.StructField("name", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__ord", T.LongType()), T.StructField("__key", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("__sha", T.StringType()), T.StructField("__found", T.ArrayType(one))])
     kind = pa.list_(pa.struct([("seed", pa.int64()), ("name", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
@@ -132,7 +214,10 @@ def _found(docs: DataFrame, keep: list[str], doc_id: str, text: str, seeds: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, s, offsets in _each(batches, k + 2):
-            pick = np.flatnonzero(bitmap.test(shared.value, s.seed))
+            some = np.zeros(len(s.lo), bool)
+            for which, x in s.sides():
+                some[which] |= bitmap.test(shared.value, _short(x))
+            pick = np.flatnonzero(some)
             rows = s.row[pick]
             base = offsets[rows]
             found = pa.StructArray.from_arrays([pa.array(signed(s.seed[pick])), pa.array(signed(s.name[pick])), pa.array((s.lo[pick] - base).astype(np.int32)), pa.array((s.hi[pick] - base).astype(np.int32))], fields=list(kind.value_type))
@@ -199,9 +284,9 @@ def _parts(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, spans): each row's ``keep``, __ord, __key, n_bytes, __sha; and (__ord, __key, s, e) byte spans to remove, not yet merged."""
     keyed = _keyed(docs, doc_id, text)
-    seeds = settle(_seeds(keyed))
-    found = settle(_found(docs, keep, doc_id, text, bitmap.build(seeds, "seed")))
-    drop_settled(seeds)
+    names = settle(_shared(keyed))
+    found = settle(_found(docs, keep, doc_id, text, bitmap.build(names, "k", NAME_BITS)))
+    drop_settled(names)
     spots = found.select("__ord", "__key", F.explode("__found").alias("f")).select("__ord", "__key", "f.*")
     classes = settle(spots.groupBy("seed", "name").agg(F.min("__ord").alias("least"), F.max("__ord").alias("most"), F.count("*").alias("spots")))
     several = classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1")
@@ -211,6 +296,7 @@ def repeated_spans(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     # a stretch that has more than one in HOT_SHARE of all spots is told to every task (there are fewer than HOT_SHARE of them); the others meet by a shuffle
     hot = (classes.agg(F.sum("spots")).first()[0] or 0) / HOT_SHARE
     told = settle(classes.join(part, ["seed", "name"], "left").filter("least < most OR part IS NOT NULL").select("seed", "name", "least", "part", "spots"))
+    drop_settled(classes, part)
     few, many = told.filter(F.col("spots") <= hot).drop("spots"), told.filter(F.col("spots") > hot).drop("spots")
     common = spots.join(F.broadcast(many), ["seed", "name"])
     cold = spots.join(F.broadcast(many.select("seed", "name")), ["seed", "name"], "left_anti")

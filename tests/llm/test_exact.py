@@ -106,6 +106,24 @@ def test_suffix(spark, corpus, monkeypatch, seed_stretches, hot_share):
     assert suffix.remove_repeats(docs.limit(0), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 21, 200])
+def test_suffix_keeps_no_anchors_of_short_repeats(spark, monkeypatch, held):
+    """Strings of 30 bytes that many documents share leave at the first step; one of 50 bytes is found wherever its anchor lies."""
+    monkeypatch.setattr(suffix, "HELD_NAMES", held)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short = [text(30) for _ in range(8)]
+    rows = [(i, "".join(x for s in short for x in (s, text(40)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    names = suffix._shared(suffix._keyed(docs, "doc_id", "text"))
+    found = suffix._found(docs, ["doc_id"], "doc_id", "text", suffix.bitmap.build(names, "k"))
+    assert names.count() == 0 and found.filter("size(__found) > 0").count() == 0
+    long = [text(50) for _ in range(40)]
+    rows = [(i, text(60) + "|" + s + "|" + text(60)) for i, s in enumerate(long)] + [(100 + i, text(70) + s + text(70)) for i, s in enumerate(long)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"]).collect()}
+    assert all(got[i] == (0, 0) and got[100 + i][0] >= 50 and got[100 + i][1] == 1 for i in range(40))
+
+
 def test_suffix_stretches_do_not_depend_on_the_piece():
     """A text's stretches are the same alone, among others, and behind a very long text."""
     rng = random.Random(12)
