@@ -49,6 +49,22 @@ def test_exact_match_and_empty_names(spark):
     assert {r.s1_id: list(r.c_ids) for r in blocking.exact_match(s1, s23, allow_empty=False).collect()} == {"a": ["y", "x"], "b": []}
 
 
+def test_exact_match_moves_no_pairs(spark, monkeypatch):
+    """Lists long or short, blank names and repeated ids; rows that meet their lists are as many as the entities."""
+    monkeypatch.setattr(blocking, "LONG_LIST", 5)
+    rows = [(f"q{i}", "" if i % 2 else f"n{i}", "de", 1, i) for i in range(20)] + [("q2", "n4", "de", 1, 99)]
+    s1 = spark.createDataFrame(rows, "entity_id string, business_name string, country string, src int, ord long")
+    index = [(f"x{i}", "" if i % 3 else f"n{i % 20}", "de", 2, 100 - i) for i in range(60)]
+    s23 = spark.createDataFrame(index, s1.schema)
+    want = {}
+    for e, name, *_ in rows:
+        want.setdefault(e, []).extend((r[4], r[0]) for r in index if r[1] == name)
+    got = blocking.exact_match(s1, s23)
+    assert {r.s1_id: list(r.c_ids) for r in got.collect()} == {e: [c for _, c in sorted(v)] for e, v in want.items()} and got.count() == 20
+    # of the lists only those of repeated ids are put together behind the join
+    assert got.filter("s1_id <> 'q2'")._jdf.queryExecution().optimizedPlan().toString().count("collect_list") <= 1
+
+
 def test_cosine(spark):
     s1, s23 = people(spark, [("q", "prime money", "", "us", 1, 0)]), people(spark, [("c", "prime mony", "", "us", 2, 1), ("d", "prime money", "", "fr", 2, 2)])
     got = retrieve.cosine_pairs(s1, s23, char_grams(search_text())).collect()
