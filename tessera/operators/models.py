@@ -21,7 +21,12 @@ Scorer = Callable[[Column, Column], Column]
 
 def lexical_scorer(a: Column, b: Column) -> Column:
     """Share of words that two texts have in common."""
-    return jaccard(tokens(a), tokens(b))
+    return lexical_words(tokens(a), tokens(b))
+
+
+def lexical_words(a: Column, b: Column) -> Column:
+    """:func:`lexical_scorer` of texts whose words are known."""
+    return jaccard(a, b)
 
 
 def train_matcher(pairs: DataFrame, features: list[str] = FEATURES, label: str = "label", held: str | None = None, rounds: int = 30, seed: int = 42) -> PipelineModel:
