@@ -129,6 +129,22 @@ def test_dense_in_blocks(spark):
     assert all(a != b for a, b, *_ in whole)
 
 
+def test_dense_passes_on_the_best_of_a_task(spark, monkeypatch):
+    """Many equal vectors: a task passes on k rows a query, not k a batch, and ties go by id."""
+    monkeypatch.setattr(retrieve, "PRODUCTS", 40)
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(120)], "id long, embedding array<float>")
+    passed = []
+    monkeypatch.setattr(retrieve, "top_k", lambda df, *a, top=retrieve.top_k: passed.append(df.count()) or top(df, *a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = retrieve.dense_top(rows.filter("id < 6"), rows, 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert passed[0] <= 6 * 4 * 4
+    for q in range(6):
+        assert [r.c_id for r in sorted(got, key=lambda r: r["rank"]) if r.q_id == q] == [i for i in range(120) if i % 3 == q % 3 and i != q][:4]
+
+
 def test_metrics(spark):
     e = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "s1_id string")
     t = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a")], "s1_id string, c_id string")
