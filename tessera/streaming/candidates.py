@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.functions import fixed
 from tessera.functions.text import normalize
 from tessera.operators.blocking import key_table, lookup_keys
-from tessera.sources.shared import new_path
+from tessera.sources.shared import new_path, spread_tasks
 
 
 def probe(stream: DataFrame, query: DataFrame) -> DataFrame:
@@ -52,6 +52,35 @@ def best_scores(scored: DataFrame, k: int = 200) -> DataFrame:
     return scored.groupBy("s1_id").applyInPandasWithState(step, "s1_id string, c_id string, score double", "ids array<string>, scores array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def best_by_batch(scored: DataFrame, path: str, k: int = 200) -> DataFrame:
+    """(s1_id, c_id, score): what :func:`best_scores` comes to when all that has arrived is read, ranked a batch at a time by Spark's own operators.
+
+    Each batch writes the best of the entities it touches to ``path``; these and
+    the next batch's rows are all that the next one needs.
+    """
+    from tessera.operators.retrieve import top_k
+
+    spark, kind = scored.sparkSession, "s1_id string, c_id string, score double, batch long"
+
+    def latest(before: int) -> DataFrame:
+        every = spark.read.schema(kind).parquet(path).filter(F.col("batch") < before)
+        return every.join(every.groupBy("s1_id").agg(F.max("batch").alias("batch")), ["s1_id", "batch"], "left_semi").select("s1_id", "c_id", "score")
+
+    done = []
+
+    def step(df: DataFrame, i: int) -> None:
+        rows = df.select("s1_id", "c_id", "score")
+        if i:
+            rows = rows.unionByName(latest(i).join(rows.select("s1_id").distinct(), "s1_id", "left_semi"))
+        # one exchange by entity does for both steps
+        best = rows.repartition(spread_tasks(spark), "s1_id").groupBy("s1_id", "c_id").agg(F.max("score").alias("score"))
+        top_k(best, k).select("s1_id", "c_id", "score").write.mode("overwrite").parquet(f"{path}/batch={i}")
+        done.append(i)
+
+    each_batch(scored, step, f"{path}-state")
+    return latest(1 << 62) if done else spark.createDataFrame([], "s1_id string, c_id string, score double")
+
+
 def running_frequency(words: DataFrame, most: int = fixed.RARE_RUNNING) -> DataFrame:
     """Append stream of the words (country, key, c_id, src, ord) whose running count, up to and with their own row, is at most ``most``.
 

@@ -101,6 +101,24 @@ def test_best_scores_state_over_batches(spark, tmp_path):
         assert sorted(last[q][max(last[q])], key=lambda x: (-x[1], x[0])) == want
 
 
+def test_best_scores_by_batch(spark, tmp_path):
+    """Several batches of repeated pairs: each entity's best of all of them, and the state of those that later batches do not touch."""
+    rng = random.Random(5)
+    kind = "s1_id string, c_id string, score double"
+    rows = [[(f"q{rng.randrange(6 - b)}", f"x{rng.randrange(9)}", rng.randrange(20) / 20) for _ in range(40)] for b in range(3)]
+    for b, part in enumerate(rows):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {}
+    for r in streaming.best_by_batch(stream, str(tmp_path / "out"), 4).collect():
+        got.setdefault(r.s1_id, []).append((-r.score, r.c_id))
+    want = {}
+    for q, c, v in sum(rows, []):
+        want.setdefault(q, {})[c] = max(v, want.get(q, {}).get(c, v))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted((-v, c) for c, v in best.items())[:4] for q, best in want.items()}
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+
+
 def test_file_checks(spark, tmp_path):
     ids = spark.createDataFrame([("a",), ("b",)], "s1_id string")
     n = lambda path: {r.name: r.n for r in metrics.file_checks(spark, str(tmp_path / path), ids).collect()}
