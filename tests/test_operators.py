@@ -129,6 +129,23 @@ def test_dense_in_blocks(spark):
     assert all(a != b for a, b, *_ in whole)
 
 
+def test_cosine_of_copies(spark, monkeypatch):
+    """Copies on both sides: every pair once with its better score, without a shuffle of pairs; the best k with ties by id."""
+    monkeypatch.setattr(retrieve, "INDEX_ROWS", 3)
+    names = ["acme steel works", "acme steel", "north sea fish", "sea fish", "steel"]
+    s1 = people(spark, [(f"q{i}", names[i % 5], "main street" if i % 2 else "", "de", 1, i) for i in range(20)])
+    s23 = people(spark, [(f"x{i:02}", names[i % 5], "main road" if i % 3 else "", "de", 2, i) for i in range(30)])
+    char, word = char_grams(search_text()), word_grams(search_text())
+    for block in (4, 4096):
+        got = retrieve.cosine_best(s1, s23, {0.3: char, 0.2: word}, block)
+        want = retrieve.merge_best(retrieve.cosine_pairs(s1, s23, char, 0.3), retrieve.cosine_pairs(s1, s23, word, 0.2))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+        assert "Exchange" not in got.filter("score > 0")._jdf.queryExecution().executedPlan().toString()
+        ranked = sorted(retrieve.cosine_pairs(s1, s23, char).collect(), key=lambda r: (r.s1_id, -r.score, r.c_id))
+        best = [(r.s1_id, r.c_id) for i, r in enumerate(ranked) if sum(o.s1_id == r.s1_id for o in ranked[:i]) < 4]
+        assert sorted((r.s1_id, r.c_id) for r in retrieve.cosine_top(s1, s23, char, 4, block).collect()) == sorted(best)
+
+
 def test_dense_passes_on_the_best_of_a_task(spark, monkeypatch):
     """Many equal vectors: a task passes on k rows a query, not k a batch, and ties go by id."""
     monkeypatch.setattr(retrieve, "PRODUCTS", 40)
