@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import char_grams, normalize, search_text, word_grams
-from tessera.operators import blocking, decide, features, metrics, models, retrieve
+from tessera.operators import blocking, cells, decide, features, metrics, models, retrieve
 from tessera.plans import pipelines
 
 
@@ -274,3 +274,60 @@ def test_models_and_indexes_are_kept(spark, tmp_path):
     models.save_matcher(model, str(tmp_path / "m"))
     score = lambda m: [r.match_prob for r in models.score_pairs(m, rows).collect()]
     assert score(models.load_matcher(str(tmp_path / "m"))) == score(model)
+
+
+def _texts(seed, n):
+    """Cleaned texts of few words, with copies, repeated words and empty ones."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcd0") for _ in range(rng.randint(1, 5))) for _ in range(25)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["char", "word"])
+@pytest.mark.parametrize("limits", [{}, {"ROWS": 7, "TEXTS": 5, "PRODUCTS": 3, "HELD": 1, "TABLE": 0}, {"DENSE_SHARE": 2.0, "HELD": 1}, {"DENSE_SHARE": 0.0, "ROWS": 3}])
+def test_cell_against_loop(monkeypatch, kind, limits):
+    """The k best of a cell by exact cosine and smallest id, whatever is dense and however it is cut."""
+    for name, value in limits.items():
+        monkeypatch.setattr(cells, name, value)
+
+    def grams(text):
+        if kind == "char":
+            return Counter(p[i : i + n] for p in (f" {w} " for w in text.split()) for n in (3, 4) for i in range(len(p) - n + 1))
+        words = [w for w in text.split() if len(w) >= 2]
+        return Counter(words + [" ".join(p) for p in zip(words, words[1:], strict=False)])
+
+    q, x = _texts(1, 40), _texts(2, 150)
+    # many rows of one score
+    x += ["abc dcb"] * 30
+    first = random.Random(3).sample(range(len(x)), len(x))
+    length = lambda g: math.sqrt(sum(v * v for v in g.values()))
+    want = []
+    for a, t in enumerate(q):
+        ga, found = grams(t), []
+        for b, u in enumerate(x):
+            gb = grams(u)
+            if both := sum(n * gb[g] for g, n in ga.items()):
+                found.append((-round(both / length(ga) / length(gb), 9), first[b], b))
+        want += [(a, b, -s) for s, _, b in sorted(found)[:4]]
+    got = cells.Cell(kind, pa.array(q), pa.array(x), np.array(first), 4).best()
+    assert list(zip(*(c.tolist() for c in got[:2]), strict=True)) == [w[:2] for w in want]
+    assert got[2].tolist() == pytest.approx([s for _, _, s in want], abs=1e-8)
+
+
+@pytest.mark.parametrize("top,gram", [("char_top", char_grams)])
+def test_top_in_cells(spark, monkeypatch, top, gram):
+    """As the retriever for any grams; where a country's rows fit a cell, no more than the k best of a query are passed on, in how many tasks the index ever is."""
+    side = lambda p, src, n, seed: people(spark, [(f"{p}{i:03}", t, u, ["de", "fr", "", None, "de"][i % 5], src, i) for i, (t, u) in enumerate(zip(_texts(seed, n), _texts(seed + 1, n), strict=True))] + [(f"{p}c{i}", "abc dcb", "a", "de", src, n + i) for i in range(9)])
+    s1, s23 = side("q", 1, 60, 5), side("x", 2, 200, 7)
+    want = sorted(map(tuple, retrieve.cosine_top(s1, s23, gram(search_text()), 3).select("s1_id", "c_id", "score", "rank").collect()))
+    assert len(want) > 60
+    passed = []
+    monkeypatch.setattr(retrieve, "top_k", lambda df, *a, top=retrieve.top_k: passed.append(df.count()) or top(df, *a))
+    s23 = s23.repartition(4)
+    got = getattr(retrieve, top)(s1, s23, 3)
+    assert sorted(map(tuple, got.select("s1_id", "c_id", "score", "rank").collect())) == want and passed == [len(want)]
+    for name, value in {"CELL_ROWS": 20, "LEAST_QUERIES": 4, "QUERY_IDS": 2}.items():
+        monkeypatch.setattr(cells, name, value)
+    got = getattr(retrieve, top)(s1, s23, 3, 6)
+    assert sorted(map(tuple, got.select("s1_id", "c_id", "score", "rank").collect())) == want
+    assert getattr(retrieve, top)(s1.limit(0), s23, 3).count() == getattr(retrieve, top)(s1, s23.limit(0), 3).count() == 0
