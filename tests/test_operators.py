@@ -314,7 +314,7 @@ def test_cell_against_loop(monkeypatch, kind, limits):
     assert got[2].tolist() == pytest.approx([s for _, _, s in want], abs=1e-8)
 
 
-@pytest.mark.parametrize("top,gram", [("char_top", char_grams)])
+@pytest.mark.parametrize("top,gram", [("char_top", char_grams), ("word_top", word_grams)])
 def test_top_in_cells(spark, monkeypatch, top, gram):
     """As the retriever for any grams; where a country's rows fit a cell, no more than the k best of a query are passed on, in how many tasks the index ever is."""
     side = lambda p, src, n, seed: people(spark, [(f"{p}{i:03}", t, u, ["de", "fr", "", None, "de"][i % 5], src, i) for i, (t, u) in enumerate(zip(_texts(seed, n), _texts(seed + 1, n), strict=True))] + [(f"{p}c{i}", "abc dcb", "a", "de", src, n + i) for i in range(9)])
