@@ -11,7 +11,8 @@ bin a rare word has its smoothed share of the bin's training tokens.
 Training goes over all training texts in every round.  Tasks add up how often
 each feature was observed with each class and how often the parameters so far
 expect it; Spark sums that, and the step follows the difference, scaled by its
-size.  The sums, and so the model, do not depend on how rows are dealt to tasks.
+size.  What was observed is the same in every round and counted in the first.
+The sums, and so the model, do not depend on how rows are dealt to tasks.
 What the driver and a worker hold (parameters, the table of frequent words) has
 a fixed bound; all other counts stay in tables and are joined.
 """
@@ -131,13 +132,22 @@ class Counts:
         #: rows of each feature; the first one's are those of hashed classes
         self.row_bits = [bits - 2] * 3 + [bits - 3] * 2
         self.first_row = np.cumsum([len(self.shares)] + [1 << b for b in self.row_bits])
+        #: hashes with an end, and the first of them that begins with each value of some bits; there are twice as many values as hashes at least
+        self._ended = np.append(self.hashes, np.uint64((1 << 64) - 1))
+        self._shift = np.uint64(64 - max(1, (2 * len(self.hashes)).bit_length()))
+        self._begin = np.searchsorted(self.hashes, np.arange(1 << (64 - int(self._shift)), dtype=np.uint64) << self._shift).astype(np.int32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(is a frequent word, its count, its leaf); all other words have the last leaf."""
         n = len(self.hashes)
         if not n:
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        i = np.minimum(np.searchsorted(self.hashes, h), n - 1)
+        i = self._begin[h >> self._shift]
+        later = np.flatnonzero(self._ended[i] < h)
+        while len(later):
+            i[later] += 1
+            later = later[self._ended[i[later]] < h[later]]
+        i = np.minimum(i, n - 1)
         known = self.hashes[i] == h
         return known, np.where(known, self.counts[i], 0), np.where(known, i, n)
 
@@ -206,15 +216,20 @@ class Model:
 
 
 class Sums:
-    """How often each row was observed with each outcome, and how often the model expects it."""
+    """How often each row was observed with each outcome (only if ``observe``: no model changes that), and how often the model expects it."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, observe: bool = True):
         self.model = model
-        self.observed, self.expected = (np.zeros(model.params.shape) for _ in range(2))
+        self.expected = np.zeros(model.params.shape)
+        self.observed = np.zeros(model.params.shape) if observe else None
         #: what is expected since the last count, in short numbers; small terms would be lost beside the whole sum
         self._now = np.zeros(model.params.shape, np.float32)
         self._keys: list[np.ndarray] = []
+        self._held = 0
         self._met: list[np.ndarray] = []
+        hashed = len(model.counts.shares)
+        #: (row, class) as one number, short where it can be as that is sorted faster
+        self._met_kind = np.uint32 if len(model.params) * (hashed + 1) <= 1 << 32 else np.int64
 
     def add(self, h: np.ndarray, first: np.ndarray, leaf: np.ndarray) -> None:
         if self.model.plain:
@@ -222,17 +237,29 @@ class Sums:
             return
         for _, rows, outcome, e, total in self.model.batches(h, first, leaf):
             e /= total[:, None]
+            # a row and its place as one number: that is sorted several times faster than an order of rows is found
+            place, bits = np.arange(len(e)), len(e).bit_length()
             for r in rows:
-                order = np.argsort(r)
-                self._expect(r[order], np.take(e, order, axis=0))
+                both = (r << bits) | place
+                both.sort()
+                self._expect(both >> bits, np.take(e, both & ((1 << bits) - 1), axis=0, mode="clip"))
+            self._hold(rows, outcome)
+
+    def _hold(self, rows: np.ndarray, outcome: np.ndarray) -> None:
+        """Keep what was observed until some batches are counted at once; sums in short numbers go over as often."""
+        if self.observed is not None:
             self._keys.append((rows * WIDTH + outcome).astype(np.int32).reshape(-1))
-            if len(self._keys) >= KEYS_HELD:
-                self._count()
+        self._held += 1
+        if self._held >= KEYS_HELD:
+            self._count()
 
     def _expect(self, rows: np.ndarray, terms: np.ndarray) -> None:
         """Add ``terms`` to sorted ``rows``; two short numbers are added as one complex number, which halves the additions."""
         pairs = self._now.view(np.complex64).reshape(-1)
-        np.add.at(pairs, ((rows * (WIDTH // 2))[:, None] + np.arange(WIDTH // 2)).reshape(-1), terms.view(np.complex64).reshape(-1))
+        start, at = rows * (WIDTH // 2), np.empty((len(rows), WIDTH // 2), np.int64)
+        for k in range(WIDTH // 2):
+            np.add(start, k, out=at[:, k])
+        np.add.at(pairs, at.reshape(-1), terms.view(np.complex64).reshape(-1))
 
     def _add_plain(self, h: np.ndarray, first: np.ndarray, leaf: np.ndarray) -> None:
         """The same where only a choice's class matters: rows and classes that meet often are counted and added once."""
@@ -241,17 +268,16 @@ class Sums:
             part = slice(lo, lo + BATCH)
             token, cls, outcome = self.model.choices(h[part], leaf[part])
             rows = self.model.rows([x[part] for x in f], token, cls)
-            self._keys.append((rows * WIDTH + outcome).astype(np.int32).reshape(-1))
-            self._met.append((rows * (hashed + 1) + np.minimum(cls, np.uint64(hashed)).astype(np.int64)).reshape(-1))
-            if len(self._keys) >= KEYS_HELD:
-                self._count()
+            self._met.append((rows * (hashed + 1) + np.minimum(cls, np.uint64(hashed)).astype(np.int64)).astype(self._met_kind).reshape(-1))
+            self._hold(rows, outcome)
 
     def _count(self) -> None:
         """Put what is held so far, (row, outcome) and (row, class) of choices, into ``observed`` and ``expected``."""
 
         def counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            keys = np.sort(np.concatenate(held))
+            keys = np.concatenate(held)
             held.clear()
+            keys.sort()
             at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             return keys[at], np.diff(np.append(at, len(keys)))
 
@@ -261,19 +287,22 @@ class Sums:
         if self._met:
             shares = np.exp(np.vstack([self.model.counts.shares, np.full((1, WIDTH), -math.log(WIDTH), np.float32)]))
             keys, n = counted(self._met)
-            row, cls = np.divmod(keys, len(shares))
+            row = keys // len(shares)
+            row, cls = row.astype(np.int64), keys - row * len(shares)
             for lo in range(0, len(row), BATCH):
                 part = slice(lo, lo + BATCH)
-                self._expect(row[part], np.take(shares, cls[part], axis=0) * n[part, None].astype(np.float32))
+                self._expect(row[part], np.take(shares, cls[part], axis=0, mode="clip") * n[part, None].astype(np.float32))
+        self._held = 0
         self.expected += self._now
         self._now[:] = 0
 
-    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(block, observed, expected) of the blocks of rows that were touched."""
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """(block, expected and, where counted, observed behind it) of the blocks of rows that were touched."""
         self._count()
+        sides = [self.expected] if self.observed is None else [self.expected, self.observed]
         for k, lo in enumerate(range(0, len(self.expected), _BLOCK)):
             if self.expected[lo : lo + _BLOCK].any():
-                yield k, self.observed[lo : lo + _BLOCK].astype(np.float32).tobytes(), self.expected[lo : lo + _BLOCK].astype(np.float32).tobytes()
+                yield k, b"".join(x[lo : lo + _BLOCK].astype(np.float32).tobytes() for x in sides)
 
 
 def step(observed: np.ndarray, expected: np.ndarray, rate: float) -> np.ndarray:
@@ -326,37 +355,44 @@ def _wide(training: DataFrame) -> DataFrame:
 def train(training: DataFrame, counts: Counts, steps: tuple[float, ...] = STEPS) -> Model:
     """Parameters learned from all training rows (text), which every round goes over."""
     sc = training.sparkSession.sparkContext
-    model, params = Model(counts), None
+    model, params, observed = Model(counts), None, None
     training = _wide(training.select("text"))
-    kind = "block int, observed binary, expected binary"
+    kind = "block int, sums binary"
+
+    def pack(k: int, sums: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums], pa.binary())], ["block", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+                held[k] = held[k] + x if k in held else x
+        for k, x in held.items():
+            yield pack(k, x.astype(np.float32).tobytes())
+
     for rate in steps:
         shared = sc.broadcast((counts, params))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, observe=observed is None) -> Iterator[pa.RecordBatch]:
             sums = None
             for batch in batches:
                 for lo, hi in pieces(batch, 0):
-                    sums = sums or Sums(Model(*shared.value))
+                    sums = sums or Sums(Model(*shared.value), observe)
                     h, first = tokens(batch.column(0), lo, hi)
                     sums.add(h, first, sums.model.counts.find(h)[2])
             for block in sums.blocks() if sums else ():
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(block, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "observed", "expected"])
+                yield pack(*block)
 
-        def add(batches: Iterator[pa.RecordBatch], rate=rate) -> Iterator[pa.RecordBatch]:
-            held: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for k, *sides in zip(*(batch.column(i) for i in range(3)), strict=True):
-                    both = np.stack([np.frombuffer(s.as_buffer(), np.float32) for s in sides]).astype(np.float64)
-                    k = k.as_py()
-                    held[k] = held[k] + both if k in held else both
-            for k, both in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([step(*both, rate).tobytes()], pa.binary())], ["block", "step"])
-
-        summed = training.mapInArrow(lean(run), kind).repartition("block").mapInArrow(lean(add), "block int, step binary")
+        summed = training.mapInArrow(lean(run), kind).repartition("block").mapInArrow(lean(add), kind)
         params = model.params.copy()
+        known, observed = observed, np.zeros(params.shape, np.float32) if observed is None else observed
         for r in summed.collect():
-            d = np.frombuffer(r["step"], np.float32).reshape(-1, WIDTH)
-            params[r["block"] * _BLOCK : r["block"] * _BLOCK + len(d)] += d
+            sides = np.frombuffer(r["sums"], np.float32).astype(np.float64).reshape(2 if known is None else 1, -1, WIDTH)
+            part = slice(r["block"] * _BLOCK, r["block"] * _BLOCK + sides.shape[1])
+            if known is None:
+                observed[part] = sides[1]
+            params[part] += step(observed[part], sides[0], rate)
         model = Model(counts, params)
         shared.unpersist()
     return model

@@ -105,6 +105,39 @@ def test_lm_sums_and_tasks(spark, corpus):
         assert np.isclose(observed.sum(), expected.sum(), rtol=1e-4)
 
 
+def test_lm_observed_is_counted_in_the_first_round_only(spark, corpus):
+    """Later rounds hand in half as much, and the model is the one of rounds that count everything in one process."""
+    docs, _ = corpus
+    training, _, counts, model = lm_fitted(docs.filter("doc_id < 20"), 30)
+    h, first = lm.tokens(pa.array([r.text for r in training.collect()]), 0, training.count())
+    leaf, plain = counts.find(h)[2], lm.Model(counts)
+    for rate in lm.STEPS:
+        every, later = lm.Sums(plain), lm.Sums(plain, observe=False)
+        for sums in (every, later):
+            sums.add(h, first, leaf)
+        whole, half = dict(every.blocks()), dict(later.blocks())
+        assert later.observed is None and whole.keys() == half.keys()
+        assert all(len(half[k]) * 2 == len(whole[k]) and whole[k].startswith(half[k]) for k in half)
+        plain = lm.Model(counts, plain.params + lm.step(every.observed, every.expected, rate))
+    assert np.allclose(model.params, plain.params, atol=1e-3)
+
+
+def test_lm_finds_frequent_words():
+    """Words whose hashes begin with the same bits, lie before, between and behind the known ones, and the largest hash."""
+    top, r = (1 << 64) - 1, np.random.Generator(np.random.PCG64(3))
+    spread = [int(x) for x in r.integers(0, top, 300, dtype=np.uint64)]
+    for known in ([], [7], [top], [0, top], [*range(1 << 40, (1 << 40) + 50), *spread], spread):
+        known = np.array(sorted(known), np.uint64)
+        n = len(known)
+        counts = lm.Counts(known, np.arange(n) + 3, 3, 10_000, n + 5)
+        place = {int(x): i for i, x in enumerate(known)}
+        asked = [0, 1, 7, 8, top - 1, top, 1 << 40, (1 << 40) + 50, *place, *(x ^ 1 for x in place)]
+        is_known, c, leaf = counts.find(np.array(asked, np.uint64))
+        assert is_known.tolist() == [x in place for x in asked]
+        assert leaf.tolist() == [place.get(x, n) for x in asked]
+        assert c.tolist() == [place[x] + 3 if x in place else 0 for x in asked]
+
+
 def test_lm_huffman():
     r = np.random.Generator(np.random.PCG64(2))
     for n in (1, 2, 15, 16, 17, 300):
