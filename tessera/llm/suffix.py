@@ -19,17 +19,21 @@ positions whose name is unique leave before the next length:
    offsets 0 and 25.
 
 Texts never move for this.  They are read once for each step, and only the
-texts that lose bytes are joined with their spans at the end.
+texts that lose bytes are joined with their spans at the end, a share of the
+documents at a time.  Of equal texts only those of the smallest id go through
+the steps: the others lose all their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
@@ -45,8 +49,14 @@ HOT_SHARE = 1000
 SEED_STRETCHES = 20_000
 #: Bytes beside its seed, before or behind, of which every window has the one or the other.
 BEFORE, BEHIND = (LENGTH - SEED) // 2, LENGTH - SEED - (LENGTH - SEED) // 2
-#: Names that a task sorts before it passes them on, and the most bits of their bitmap.
-HELD_NAMES, NAME_BITS = 1 << 21, 28
+#: Names that a task sorts before it passes them on, and the most bits of a sieve of names.
+HELD_NAMES, NAME_BITS = 1 << 21, 30
+#: Copies of whole texts that are told to every task; what is beyond goes through all steps.
+COPIES = 1 << 22
+#: Stretches whose spans are worked out at once, about, and in how many shares of the documents at most.
+SPOTS, SHARES = 1 << 22, 6
+#: The lowest bits of a name are its seed's: by them names and stretches are parted alike.
+_PARTED = 8
 #: Of a name so many bits are passed on; the others tell where to.  Names that agree in them cost time, not results.
 _PACKED = 40
 _LAST = (1 << 63) - 1
@@ -102,7 +112,9 @@ class Stretches:
         for have, a, b, tag in ((self._anchor - self.lo >= BEFORE, -BEFORE, SEED, 1), (self._anchor - self.hi <= BEFORE, 0, SEED + BEHIND, 2)) if n else ():
             which = np.flatnonzero(have)
             at = self._anchor[which]
-            yield which, mix((self._sums[at + b] - self._sums[at + a]) * self._down[at + a] ^ np.uint64(tag << 60))
+            name = mix((self._sums[at + b] - self._sums[at + a]) * self._down[at + a] ^ np.uint64(tag << 60))
+            low = np.uint64((1 << _PARTED) - 1)
+            yield which, name & ~low | self.seed[which] & low
 
     def windows(self, which: np.ndarray) -> list[np.ndarray]:
         """Names of the windows of the stretches ``which``: pairs of seed names, SEED bytes apart."""
@@ -113,8 +125,41 @@ class Stretches:
         return out
 
 
-def _each(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, int, int, Stretches, np.ndarray]]:
+class Copies:
+    """Which rows (by ord and key) have the text of a row of a smaller id."""
+
+    def __init__(self, key: np.ndarray, ord_: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.ord = key[order], ord_[order]
+
+    def test(self, key: np.ndarray, ord_: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(key), bool), np.searchsorted(self.key, key)
+        while len(self.key):
+            # keys of different rows may be equal
+            same = (at < len(self.key)) & (self.key[np.minimum(at, len(self.key) - 1)] == key)
+            if not same.any():
+                break
+            out |= same & (self.ord[np.minimum(at, len(self.key) - 1)] == ord_)
+            at = at + 1
+        return out
+
+
+def _copies(keyed: DataFrame) -> Copies:
+    """The rows whose whole text, of ``LENGTH`` bytes at least, a smaller id has too; texts are equal if two 64-bit hashes of them are."""
+    hashed = keyed.filter(F.octet_length("text") >= LENGTH).select("ord", F.xxhash64("ord", "text").alias("key"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
+    more = hashed.withColumn("least", F.min("ord").over(Window.partitionBy("a", "b"))).filter("ord > least").select("key", "ord").distinct()
+    more = settle(more)
+    shares = -(-more.count() // COPIES)
+    rows = (more.filter(F.pmod("key", F.lit(shares)) == 0) if shares > 1 else more).toArrow()
+    drop_settled(more)
+    return Copies(*(c.to_numpy() for c in rows.columns))
+
+
+def _each(batches: Iterator[pa.RecordBatch], text_at: int, copies: Copies | None = None) -> Iterator[tuple[pa.RecordBatch, int, int, Stretches, np.ndarray]]:
+    """The stretches of some rows of a batch at a time; the rows of ``copies``, by the columns ord and key, are left out."""
     for batch in batches:
+        if copies is not None:
+            batch = batch.filter(pa.array(~copies.test(*(batch.column(c).to_numpy() for c in ("key", "ord")))))
         for lo, hi in pieces(batch, text_at, PIECE):
             data, offsets = text_bytes(batch.column(text_at), lo, hi)
             yield batch, lo, hi, Stretches(data, offsets), offsets
@@ -141,9 +186,10 @@ def _short(names: np.ndarray) -> np.ndarray:
     return mix(names & np.uint64((1 << _PACKED) - 1))
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """(k): :func:`_short` of the names (:meth:`Stretches.sides`) that stand in different rows; rows of one id that repeat a text count as different here."""
+def _shared(keyed: DataFrame, copies: Copies | None = None) -> DataFrame:
+    """(k, part): :func:`_short` and the lowest bits of the names (:meth:`Stretches.sides`) that stand in different rows; rows of one id that repeat a text count as different here."""
     session = keyed.sparkSession
+    told = session.sparkContext.broadcast(copies)
     tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     places = np.uint64(min(8 * tasks, 1 << (64 - _PACKED)))
     low = np.uint64(_PACKED)
@@ -167,7 +213,7 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, rows, held, begun = [], [], 0, 0
-        for _, lo, hi, s, _ in _each(batches, 0):
+        for _, lo, hi, s, _ in _each(batches, 0, told.value):
             for which, x in s.sides():
                 names.append(x)
                 rows.append(s.row[which] + begun)
@@ -185,7 +231,8 @@ def _shared(keyed: DataFrame) -> DataFrame:
         def found() -> pa.RecordBatch:
             x = np.sort(np.concatenate([_unpacked(b) for b in once]))
             both = np.concatenate([x[1:][x[1:] == x[:-1]], *(_unpacked(b) for b in often)])
-            return pa.RecordBatch.from_arrays([pa.array(signed(_short(np.unique(both))))], ["k"])
+            both = np.unique(both)
+            return pa.RecordBatch.from_arrays([pa.array(signed(_short(both))), pa.array((both & np.uint64((1 << _PARTED) - 1)).astype(np.int32))], ["k", "part"])
 
         for batch in batches:
             for p, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -198,24 +245,41 @@ def _shared(keyed: DataFrame) -> DataFrame:
         if place is not None:
             yield found()
 
-    blocks = keyed.select("text").mapInArrow(lean(pack), "place long, once binary, often binary")
-    return blocks.repartition(tasks, "place").sortWithinPartitions("place").mapInArrow(lean(common), "k long")
+    blocks = keyed.select("text", "ord", F.xxhash64("ord", "text").alias("key")).mapInArrow(lean(pack), "place long, once binary, often binary")
+    return blocks.repartition(tasks, "place").sortWithinPartitions("place").mapInArrow(lean(common), "k long, part int")
+
 
+def _found(docs: DataFrame, keep: list[str], doc_id: str, text: str, names: np.ndarray | bitmap.Sieve, copies: Copies | None = None, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Each row's columns ``keep`` with ord, n_bytes, key, text_sha256, whether it is of ``copies``, and its stretches of shared names.
 
-def _found(docs: DataFrame, keep: list[str], doc_id: str, text: str, names: np.ndarray) -> DataFrame:
-    """Each row's columns ``keep`` with ord, n_bytes, key, text_sha256 and its stretches of shared names."""
+    ``part`` (which, of how many) takes the stretches of that part of the seeds only.
+    """
     import pyspark.sql.types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+    shared, told = docs.sparkSession.sparkContext.broadcast(names), docs.sparkSession.sparkContext.broadcast(copies)
     one = T.StructType([T.StructField("seed", T.LongType()), T.StructField("name", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__ord", T.LongType()), T.StructField("__key", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("__sha", T.StringType()), T.StructField("__found", T.ArrayType(one))])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__ord", T.LongType()), T.StructField("__key", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("__sha", T.StringType()), T.StructField("__copy", T.BooleanType()), T.StructField("__found", T.ArrayType(one))])
     kind = pa.list_(pa.struct([("seed", pa.int64()), ("name", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
     k = len(keep)
 
+    def no_copies(batches: Iterator[pa.RecordBatch], held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = told.value.test(batch.column(k + 1).to_numpy(), batch.column(k).to_numpy())
+            if gone.any():
+                held.append(batch.filter(pa.array(gone)))
+                batch = batch.filter(pa.array(~gone))
+            yield batch
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, s, offsets in _each(batches, k + 2):
+        held: list[pa.RecordBatch] = []
+        for batch, lo, hi, s, offsets in _each(no_copies(batches, held) if told.value is not None else batches, k + 2):
+            while held:
+                yield copied(held.pop())
             some = np.zeros(len(s.lo), bool)
             for which, x in s.sides():
+                if part[1] > 1:
+                    own = np.flatnonzero((x & np.uint64((1 << _PARTED) - 1)) % np.uint64(part[1]) == part[0])
+                    which, x = which[own], x[own]
                 some[which] |= bitmap.test(shared.value, _short(x))
             pick = np.flatnonzero(some)
             rows = s.row[pick]
@@ -224,7 +288,14 @@ def _found(docs: DataFrame, keep: list[str], doc_id: str, text: str, names: np.n
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32)), found)
             flat, cut = s.data, offsets.tolist()
             sha = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(k + 2)), pa.array(np.diff(offsets)), pa.array(sha, pa.string()), lists], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(k + 2)), pa.array(np.diff(offsets)), pa.array(sha, pa.string()), pa.array(np.zeros(hi - lo, bool)), lists], [f.name for f in schema])
+        while held:
+            yield copied(held.pop())
+
+    def copied(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        size = pa.compute.binary_length(batch.column(k + 2)).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns[: k + 2], size, pa.array([hashlib.sha256(b"").hexdigest()] * n, pa.string()), pa.array(np.ones(n, bool)), pa.array([[]] * n, kind)], [f.name for f in schema])
 
     source = docs.withColumns({"__ord": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "__text": F.coalesce(F.col(text).cast("string"), F.lit(""))})
     return source.select(*[F.col(c) for c in keep], "__ord", F.xxhash64("__ord", "__text").alias("__key"), "__text").mapInArrow(lean(run), schema)
@@ -238,7 +309,7 @@ def _parts(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
     window names; of seeds with more than ``SEED_STRETCHES`` stretches the
     windows themselves are spread over all tasks and joined.
     """
-    key = lambda df: bitmap.build(df.select(F.col("name").bitwiseXOR(F.col("least")).alias("k")), "k")
+    key = lambda df: bitmap.sieve(df.select(F.col("name").bitwiseXOR(F.col("least")).alias("k")), "k", NAME_BITS)
     few, many = mixed.filter(F.col("n") <= SEED_STRETCHES), mixed.filter(F.col("n") > SEED_STRETCHES)
     asked = few.select("seed", "name", "least", F.lit(None).cast("array<long>").alias("windows"))
     rows = _windows_of(keyed, key(few)).unionByName(asked).repartition("seed").sortWithinPartitions("seed", "least", "name", F.col("windows").isNotNull())
@@ -281,33 +352,52 @@ def _parts(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
     return part.unionByName(each.join(lowest, ["seed", "w"]).filter("least > first").groupBy("seed", "name").agg(F.sort_array(F.collect_set("j")).alias("part")))
 
 
+class Repeats:
+    """What the steps leave: each row's ``keep`` with its stretches (``found``), and the stretches to remove (``told``)."""
+
+    def __init__(self, docs: DataFrame, keep: list[str], doc_id: str, text: str):
+        keyed = _keyed(docs, doc_id, text)
+        copies = _copies(keyed)
+        names = settle(_shared(keyed, copies))
+        n = bitmap.parts(names.count(), NAME_BITS)
+        sieves = (bitmap.sieve(names.filter(F.col("part") % n == i) if n > 1 else names, "k", NAME_BITS) for i in range(n))
+        founds = [settle(_found(docs, keep if i == 0 else [], doc_id, text, x, copies, (i, n)).filter("size(__found) > 0" if i else "true")) for i, x in enumerate(sieves)]
+        drop_settled(names)
+        self.rows = founds[0]
+        each = [f.select("__ord", "__key", F.explode("__found").alias("f")).select("__ord", "__key", "f.*") for f in founds]
+        self.spots = spots = reduce(DataFrame.union, each)
+        classes = settle(spots.groupBy("seed", "name").agg(F.min("__ord").alias("least"), F.max("__ord").alias("most"), F.count("*").alias("spots")))
+        several = classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1")
+        mixed = settle(classes.join(several, "seed").select("seed", "name", "least", "n"))
+        part = settle(_parts(keyed, mixed))
+        drop_settled(mixed)
+        self.count = classes.agg(F.sum("spots")).first()[0] or 0
+        self.told = settle(classes.join(part, ["seed", "name"], "left").filter("least < most OR part IS NOT NULL").select("seed", "name", "least", "part", "spots"))
+        drop_settled(classes, part)
+
+    def spans(self, share: Column | None = None) -> DataFrame:
+        """(__ord, __key, s, e) byte spans to remove, not yet merged, without those of copies; of the rows of ``share`` only."""
+        # a stretch that has more than one in HOT_SHARE of all spots is told to every task (there are fewer than HOT_SHARE of them); the others meet by a shuffle
+        hot = self.count / HOT_SHARE
+        few, many = self.told.filter(F.col("spots") <= hot).drop("spots"), self.told.filter(F.col("spots") > hot).drop("spots")
+        spots = self.spots if share is None else self.spots.filter(share)
+        common = spots.join(F.broadcast(many), ["seed", "name"])
+        cold = spots.join(F.broadcast(many.select("seed", "name")), ["seed", "name"], "left_anti")
+        hit = cold.join(few, ["seed", "name"]).unionByName(common)
+        whole = F.array(F.struct(F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e")))
+        some = F.transform("part", lambda j: F.struct((F.col("lo") + j).alias("s"), (F.col("lo") + j + LENGTH).alias("e")))
+        hit = hit.select("__ord", "__key", F.explode(F.when(F.col("__ord") > F.col("least"), whole).otherwise(some)).alias("x"))
+        return hit.select("__ord", "__key", "x.s", "x.e")
+
+
 def repeated_spans(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): each row's ``keep``, __ord, __key, n_bytes, __sha; and (__ord, __key, s, e) byte spans to remove, not yet merged."""
-    keyed = _keyed(docs, doc_id, text)
-    names = settle(_shared(keyed))
-    found = settle(_found(docs, keep, doc_id, text, bitmap.build(names, "k", NAME_BITS)))
-    drop_settled(names)
-    spots = found.select("__ord", "__key", F.explode("__found").alias("f")).select("__ord", "__key", "f.*")
-    classes = settle(spots.groupBy("seed", "name").agg(F.min("__ord").alias("least"), F.max("__ord").alias("most"), F.count("*").alias("spots")))
-    several = classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1")
-    mixed = settle(classes.join(several, "seed").select("seed", "name", "least", "n"))
-    part = settle(_parts(keyed, mixed))
-    drop_settled(mixed)
-    # a stretch that has more than one in HOT_SHARE of all spots is told to every task (there are fewer than HOT_SHARE of them); the others meet by a shuffle
-    hot = (classes.agg(F.sum("spots")).first()[0] or 0) / HOT_SHARE
-    told = settle(classes.join(part, ["seed", "name"], "left").filter("least < most OR part IS NOT NULL").select("seed", "name", "least", "part", "spots"))
-    drop_settled(classes, part)
-    few, many = told.filter(F.col("spots") <= hot).drop("spots"), told.filter(F.col("spots") > hot).drop("spots")
-    common = spots.join(F.broadcast(many), ["seed", "name"])
-    cold = spots.join(F.broadcast(many.select("seed", "name")), ["seed", "name"], "left_anti")
-    hit = cold.join(few, ["seed", "name"]).unionByName(common)
-    whole = F.array(F.struct(F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e")))
-    some = F.transform("part", lambda j: F.struct((F.col("lo") + j).alias("s"), (F.col("lo") + j + LENGTH).alias("e")))
-    hit = hit.select("__ord", "__key", F.explode(F.when(F.col("__ord") > F.col("least"), whole).otherwise(some)).alias("x"))
-    return found.drop("__found"), hit.select("__ord", "__key", "x.s", "x.e")
-
-
-def _windows_of(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(rows, spans): each row's ``keep``, __ord, __key, n_bytes, __sha, __copy; and (__ord, __key, s, e) byte spans to remove, not yet merged."""
+    found = Repeats(docs, keep, doc_id, text)
+    whole = found.rows.filter("__copy").select("__ord", "__key", F.lit(0).alias("s"), F.col("n_bytes").cast("int").alias("e"))
+    return found.rows.drop("__found"), found.spans().unionByName(whole)
+
+
+def _windows_of(keyed: DataFrame, wanted: np.ndarray | bitmap.Sieve) -> DataFrame:
     """(seed, name, least, windows): the window names of the stretches that may be wanted in this document."""
     shared = keyed.sparkSession.sparkContext.broadcast(wanted)
 
@@ -377,13 +467,21 @@ def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     inside a character; kept_text then drops the halves.  Repeated rows get
     equal results.  Result columns' names must not be among ``keep``.
     """
-    clash = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "__ord", "__key", "__sha", "__found", "__text"} & set(keep)
+    clash = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "__ord", "__key", "__sha", "__copy", "__found", "__text"} & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are result columns")
-    rows, spans = repeated_spans(docs, keep, doc_id, text)
-    out = rows.join(changed_texts(docs, spans, doc_id, text, with_text), ["__ord", "__key"], "left")
-    columns = [*keep, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "__sha").alias("kept_sha256")]
-    return out.select(*columns, *(["kept_text"] if with_text else []))
+    found = Repeats(docs, keep, doc_id, text)
+    shares = max(1, min(SHARES, found.count // SPOTS))
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(shares))
+    if shares == 1:
+        parts = [changed_texts(docs, found.spans(), doc_id, text, with_text)]
+    else:
+        # what one share shuffles is gone before the next begins
+        parts = [settle(changed_texts(docs.filter(share(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))) == i), found.spans(share("__ord") == i), doc_id, text, with_text)) for i in range(shares)]
+    out = found.rows.join(reduce(DataFrame.union, parts), ["__ord", "__key"], "left")
+    gone = lambda c, whole, kept: F.when(F.col("__copy"), whole).otherwise(kept).alias(c)
+    columns = [*keep, "n_bytes", gone("n_removed", F.col("n_bytes"), F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"), gone("n_spans", F.lit(1), F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "__sha").alias("kept_sha256")]
+    return out.select(*columns, *([gone("kept_text", F.lit(""), F.col("kept_text"))] if with_text else []))
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

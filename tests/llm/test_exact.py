@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -124,6 +125,55 @@ def test_suffix_keeps_no_anchors_of_short_repeats(spark, monkeypatch, held):
     assert all(got[i] == (0, 0) and got[100 + i][0] >= 50 and got[100 + i][1] == 1 for i in range(40))
 
 
+@pytest.mark.parametrize(("name_bits", "spots", "copies"), [(30, 1 << 22, 1 << 22), (15, 1, 1 << 22), (16, 50, 2)])
+def test_suffix_in_parts(spark, monkeypatch, name_bits, spots, copies):
+    """Names in several sieves, documents in several shares, and copies told or not: the bytes are those of brute force; whole copies have no stretches."""
+    monkeypatch.setattr(suffix, "NAME_BITS", name_bits)
+    monkeypatch.setattr(suffix, "SPOTS", spots)
+    monkeypatch.setattr(suffix, "COPIES", copies)
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    shared = [text(rng.randint(45, 3000)) for _ in range(12)]
+    own = [text(rng.randint(0, 90)) + rng.choice(shared) + text(rng.randint(0, 90)) for _ in range(40)] + ["short"] * 3
+    rows = [(rng.randint(1, 200) if i % 9 else None, rng.choice(own)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    last, first = 1 << 62, {}
+    for i, t in rows:
+        data = t.encode()
+        for k in range(len(data) - 49):
+            first[data[k : k + 50]] = min(first.get(data[k : k + 50], last), last if i is None else i)
+    want = []
+    for i, t in rows:
+        data = t.encode()
+        gone = bytearray(len(data))
+        for k in range(len(data) - 49):
+            if first[data[k : k + 50]] < (last if i is None else i):
+                gone[k : k + 50] = b"\1" * 50
+        want.append((i, len(data), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), sha(bytes(b for b, g in zip(data, gone, strict=True) if not g))))
+    assert by_row(suffix.remove_repeats(docs, ["doc_id"], with_text=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want_rows(want)
+    found, spans = suffix.repeated_spans(docs, ["doc_id"])
+    changed = {(r["__ord"], r["__key"]): r.n_removed for r in suffix.changed_texts(docs, spans).collect()}
+    removed = [(r.doc_id, changed.get((r["__ord"], r["__key"]), 0)) for r in found.collect()]
+    assert sorted(removed, key=repr) == sorted([(w[0], w[2]) for w in want], key=repr)
+    if copies > 2:
+        least = {}
+        for i, t in rows:
+            least[t] = min(least.get(t, last), last if i is None else i)
+        rest = sum((last if i is None else i) > least[t] and len(t.encode()) >= 50 for i, t in rows)
+        assert suffix.Repeats(docs, [], "doc_id", "text").rows.filter("__copy AND size(__found) = 0").count() == rest > 20
+
+
+def test_sieve_grows_with_its_keys(spark):
+    """Of other numbers few pass, however many keys there are, and every key passes."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    keys, others = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (150_000, 100_000))
+    frame = spark.createDataFrame(pd.DataFrame({"k": keys.view(np.int64)}))
+    held = suffix.bitmap.sieve(frame, "k", 21)
+    assert suffix.bitmap.test(held, keys).all() and suffix.bitmap.test(held, others).mean() < 0.02
+    assert suffix.bitmap.parts(150_000, 21) == 1 and suffix.bitmap.parts(150_000, 20) == 2
+    assert suffix.bitmap.test(suffix.bitmap.build(frame, "k", 18), others).mean() > 0.3
+
+
 def test_suffix_stretches_do_not_depend_on_the_piece():
     """A text's stretches are the same alone, among others, and behind a very long text."""
     rng = random.Random(12)
