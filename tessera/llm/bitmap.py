@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bytegrid import mix
+
 #: 2**27 bits are 16 MiB: the most a bitmap takes, however many keys there are.
 MIN_BITS, MAX_BITS = 16, 27
 #: Bits that a key gets where the bound allows.
@@ -37,10 +39,10 @@ def build(keys: DataFrame, column: str, most: int = MAX_BITS) -> np.ndarray:
 
 
 class Sieve:
-    """Blocks of 4 KiB; a key has its three slots in one of them."""
+    """Blocks of 4 KiB; a key has its three slots in one of them, spread apart for keys that differ in few bits."""
 
     #: Bits that a key gets, and gets at least; where a key's slots begin; where its block does.
-    BITS, LEAST, SLOTS, PLACE = 16, 8, (0, 15, 25), 40
+    BITS, LEAST, SLOTS, PLACE = 16, 8, (0, 15, 30), 40
 
     def __init__(self, blocks: np.ndarray):
         self.blocks = blocks
@@ -56,7 +58,7 @@ class Sieve:
     def test(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
         place, flat = self.places(keys, len(self.blocks)) * (_BLOCK // 8), self.blocks.ravel()
-        at = np.arange(len(keys))
+        at, keys = np.arange(len(keys)), mix(keys)
         for first in self.SLOTS:
             slot = self.slot(keys[at], first)
             hit = (flat[place[at] + (slot >> 3)] >> (slot & 7).astype(np.uint8)) & 1 != 0
@@ -90,9 +92,9 @@ def sieve(keys: DataFrame, column: str, most: int) -> Sieve:
         k, place = k[order], place[order]
         begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         for a, b in zip(begins, np.append(begins[1:], len(k)), strict=True):
-            bits = np.zeros(_BLOCK, bool)
+            bits, mixed = np.zeros(_BLOCK, bool), mix(k[a:b])
             for first in Sieve.SLOTS:
-                bits[Sieve.slot(k[a:b], first)] = True
+                bits[Sieve.slot(mixed, first)] = True
             yield pa.RecordBatch.from_arrays([pa.array([int(place[a])], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["b", "m"])
 
     dealt = keys.repartition(tasks, F.shiftrightunsigned("k", Sieve.PLACE) % F.lit(blocks))

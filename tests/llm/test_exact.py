@@ -170,6 +170,8 @@ def test_sieve_grows_with_its_keys(spark):
     frame = spark.createDataFrame(pd.DataFrame({"k": keys.view(np.int64)}))
     held = suffix.bitmap.sieve(frame, "k", 21)
     assert suffix.bitmap.test(held, keys).all() and suffix.bitmap.test(held, others).mean() < 0.02
+    # one name in many documents: keys that differ in their last bits only
+    assert suffix.bitmap.test(held, keys[0] ^ np.arange(1, 1 << 15, dtype=np.uint64)).mean() < 0.03
     assert suffix.bitmap.parts(150_000, 21) == 1 and suffix.bitmap.parts(150_000, 20) == 2
     assert suffix.bitmap.test(suffix.bitmap.build(frame, "k", 18), others).mean() > 0.3
 
